@@ -1,9 +1,10 @@
 """Same or near-same records across splits (problem 5).
 
-Exact overlaps: hashes of the canonicalised records, evaluation side joined to training side. Near overlaps: two texts of
-at most d word edits share at least one of any d + 1 disjoint word runs of either, so it is enough to choose d + 1
-disjoint runs of each training class and look them up among the runs of the evaluation classes. Runs are chosen where
-they are rare; every choice of disjoint runs is complete, so rarity, which is estimated, only affects speed.
+Exact overlaps: hashes of the canonicalised records, evaluation side joined to training side. Near overlaps: of any d + 1
+disjoint word runs of a text, one at least stands whole in every text that is at most d word edits away. As d depends on
+the longer text, each class chooses as many runs as its own length asks for and looks them up among all the runs of
+classes of the other side that are no longer than itself. Runs are chosen where they are rare; every choice of disjoint
+runs is complete, so rarity, which is estimated, only affects speed.
 """
 
 from __future__ import annotations
@@ -22,8 +23,12 @@ PART = 6
 #: Words and word pairs in at least this part of the texts have their frequency looked up when runs are chosen. A text of
 #: w words has fewer than w pairs, so at most (mean words) / COMMON_PART pairs qualify; that bound lets them travel whole.
 COMMON_PART = 0.0005
-#: A run counts as rare when the expected number of texts that hold it is at most this.
-RARE = 2.0
+#: A run counts as rare when the expected number of texts that hold it is at most this; texts without enough rare runs
+#: try the next level, and those without enough of these are cut into equal blocks.
+RARE = (2.0, 30.0)
+#: Bits of the filter that spares the later levels' runs nobody asks for. However many are asked for, its size is fixed; a
+#: full one lets more through, which the join then drops.
+FILTER_BITS = 1 << 22
 #: The longest run that is tried to become rare.
 LONGEST = 6
 
@@ -54,50 +59,44 @@ def _hash(words: list[str]) -> int:
 
 
 class Runs:
-    """Chooses runs of words. ``pairs``: log2 of the expected share of texts for common pairs; ``n``: number of texts."""
+    """Chooses runs of words. ``words`` and ``pairs``: shares of the texts that hold a common one; ``n``: number of texts."""
 
     def __init__(self, words: dict[str, float], pairs: dict[str, float], n: int):
         self.words, self.pairs = words, pairs
         self.floor = COMMON_PART / 2
-        self.rare = RARE / max(n, 1)
+        self.rare = [r / max(n, 1) for r in RARE]
 
-    def shares(self, w: list[str]) -> tuple[list[float], list[float]]:
-        f, g = self.words, self.pairs
-        one = [f.get(x, self.floor) for x in w]
-        two = [g.get(a + " " + b, min(self.floor, 4 * one[i] * one[i + 1])) for i, (a, b) in enumerate(zip(w, w[1:], strict=False))]
-        return one, two
-
-    def rare_runs(self, w: list[str]) -> list[tuple[int, int]]:
+    def rare_runs(self, w: list[str], level: int = 0) -> list[tuple[int, int]]:
         """At each place the shortest run that starts there and is rare; a function of the run's own words alone."""
-        one, two = self.shares(w)
-        out, n = [], len(w)
-        for i in range(n):
-            p, j = one[i], i + 1
-            while j < n and (p > self.rare or j - i < 2) and j - i < LONGEST:
-                p *= min(1.0, two[j - 1] / one[j - 1])
+        f, g, floor = self.words, self.pairs, self.floor
+        one = [f.get(x, floor) for x in w]
+        step = [min(1.0, g.get(a + " " + b, min(floor, 4 * p * q)) / p) for a, b, p, q in zip(w, w[1:], one, one[1:], strict=False)]
+        out, n, rare = [], len(w), self.rare[level]
+        for i in range(n - 1):
+            p, j, last = one[i] * step[i], i + 2, min(n, i + LONGEST)
+            while p > rare and j < last:
+                p *= step[j - 1]
                 j += 1
-            if p <= self.rare and j - i >= 2:
+            if p <= rare:
                 out.append((i, j))
         return out
 
-    def chosen(self, w: list[str]) -> list[tuple[int, int]] | None:
-        """Disjoint rare runs, as many as the largest number of edits plus one; None when there aren't enough."""
-        need = allowed(len(w) * PART // (PART - 1)) + 1
-        out, end = [], 0
-        for i, j in sorted(self.rare_runs(w), key=lambda x: x[1]):
-            if i >= end:
-                out.append((i, j))
-                end = j
-                if len(out) == need:
-                    return out
-        return None
-
-
-def blocks(w: list[str], size: int | None = None) -> list[tuple[int, int]]:
-    """Disjoint runs of equal length, for texts without enough rare ones."""
-    need = allowed(len(w) * PART // (PART - 1)) + 1
-    q = max(1, len(w) // need)
-    return [(i * q, i * q + q) for i in range(need)]
+    def chosen(self, w: list[str]) -> tuple[int, list[tuple[int, int]]]:
+        """The level, and disjoint runs, one more than the edits allowed to this text; blocks of q words are level 10 + q.
+        A text to which no edit is allowed has none: only its equals match it."""
+        need = allowed(len(w)) + 1
+        if need == 1:
+            return 0, []
+        for level in range(len(self.rare)):
+            out, end = [], 0
+            for i, j in sorted(self.rare_runs(w, level), key=lambda x: x[1]):
+                if i >= end:
+                    out.append((i, j))
+                    end = j
+                    if len(out) == need:
+                        return level, out
+        q = len(w) // need
+        return 10 + q, [(i * q, i * q + q) for i in range(need)]
 
 
 def _common(classes: DataFrame) -> tuple[dict[str, float], dict[str, float], int]:
@@ -112,45 +111,58 @@ def _common(classes: DataFrame) -> tuple[dict[str, float], dict[str, float], int
     return got[0], got[1], n
 
 
-def _emit(words: dict, pairs: dict, n: int):
+_ASKED = "class_id long, n int, in_train boolean, in_eval boolean, level int, key long"
+
+
+def _emit_asked(words: dict, pairs: dict, n: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         runs = Runs(words, pairs, n)
         for b in batches:
-            cid, side, key = [], [], []
-            for c, text, train, held in zip(b["class_id"], b["words"], b["in_train"], b["in_eval"], strict=True):
+            at, level, key = [], [], []
+            for k, text in enumerate(b["words"]):
                 w = text.split(" ")
-                if train:
-                    got = runs.chosen(w)
-                    # side 0: rare runs; side q: blocks of q words, which the other side answers with all runs of q words
-                    for i, j in got if got is not None else blocks(w):
-                        cid.append(c)
-                        side.append(0 if got is not None else j - i)
-                        key.append(_hash(w[i:j]))
-                if held:
-                    for i, j in runs.rare_runs(w):
-                        cid.append(c)
-                        side.append(-1)
-                        key.append(_hash(w[i:j]))
-            yield pd.DataFrame({"class_id": cid, "side": side, "key": key}).astype({"class_id": "int64", "side": "int32", "key": "int64"})
+                x, got = runs.chosen(w)
+                at.extend([k] * len(got))
+                level.extend([x] * len(got))
+                key.extend(_hash([str(x), *w[i:j]] if x else w[i:j]) for i, j in got)
+            out = b[["class_id", "n", "in_train", "in_eval"]].iloc[at].reset_index(drop=True)
+            yield out.assign(level=pd.Series(level, dtype="int32"), key=pd.Series(key, dtype="int64"))
 
     return run
 
 
-def _emit_all_runs(sizes: list[int]):
+def _emit_given(words: dict, pairs: dict, n: int, levels: list[int], wanted: bytes):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        runs, bits = Runs(words, pairs, n), np.frombuffer(wanted, dtype=np.uint8)
         for b in batches:
-            cid, key = [], []
-            for c, text in zip(b["class_id"], b["words"], strict=True):
+            at, key = [], []
+            for k, text in enumerate(b["words"]):
                 w = text.split(" ")
-                for q in sizes:
-                    keys = {_hash(w[i : i + q]) for i in range(len(w) - q + 1)}
-                    cid.extend([c] * len(keys))
-                    key.extend(keys)
-            yield pd.DataFrame({"class_id": cid, "key": key}).astype({"class_id": "int64", "key": "int64"})
+                mine = {_hash(w[i:j]) for i, j in runs.rare_runs(w)}
+                for x in levels:
+                    places = runs.rare_runs(w, x) if x < 10 else [(i, i + x - 10) for i in range(len(w) - x + 11)]
+                    later = {_hash([str(x), *w[i:j]]) for i, j in places}
+                    mine |= {h for h in later if bits[(h % FILTER_BITS) >> 3] >> (h & 7) & 1}
+                at.extend([k] * len(mine))
+                key.extend(mine)
+            out = b[["class_id", "n", "in_train", "in_eval"]].iloc[at].reset_index(drop=True)
+            yield out.assign(key=pd.Series(key, dtype="int64"))
 
     return run
 
 
+def _filter_bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import numpy as np
+
+    bits = np.zeros(FILTER_BITS >> 3, dtype=np.uint8)
+    for b in batches:
+        at = np.mod(b["key"].to_numpy(), FILTER_BITS)
+        np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    yield pd.DataFrame({"bits": [bits.tobytes()]})
+
+
 def _encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         words = [words_of(t) for t in b["text"]]
@@ -186,20 +198,17 @@ def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def text_classes(df: DataFrame, row_id: str, text: str, split: str, train: str = "train", held: tuple[str, ...] = ("val", "test")) -> tuple[DataFrame, DataFrame]:
-    """``members(row_id, split, class_id)`` and ``classes(class_id, in_train, in_eval, text)``: rows whose text has the
-    same letters and digits are one class, named by its least row id. Rows of other splits or none, and texts without
-    a letter or digit, are left out."""
+    """``members(r, s, d, cut)``, a row's id, split, and the digests of its letters and digits and of its words; and the
+    classes of texts with the same words, ``(d, cut, class_id, in_train, in_eval, text)``, named by their least row id.
+    Rows of other splits or none, and texts without a letter or digit, are left out."""
     rows = df.where(F.col(split).isin(train, *held)).select(F.col(row_id).cast("long").alias("r"), F.col(split).alias("s"), F.col(text).alias("text"))
     rows = rows.where(~is_blank(F.col("text"))).withColumn("flat", letters_digits(F.col("text"))).where("flat != ''")
     rows = rows.withColumn("d", digest(F.col("flat"))).drop("flat")
     is_train = F.col("s") == train
-    # words may be cut differently in texts with the same letters, so each cut is its own form of the class
-    forms = rows.groupBy("d").agg(F.min("r").alias("class_id"), F.max(is_train).alias("in_train"), F.max(~is_train).alias("in_eval"), F.count("*").alias("n"))
-    forms = written(forms)
+    # words may be cut differently in texts with the same letters, so each cut is a class of its own
     keyed = digest(F.lower(F.regexp_replace("text", "[^\\p{L}\\p{M}\\p{N}]+", " ")))
-    cuts = rows.withColumn("cut", keyed).groupBy("d", "cut").agg(F.min_by("text", "r").alias("text"), F.min("r").alias("cut_id"), F.max(is_train).alias("in_train"), F.max(~is_train).alias("in_eval"))
-    members = rows.select("r", "s", "d", keyed.alias("cut"))
-    return members, (forms, cuts)
+    cuts = rows.withColumn("cut", keyed).groupBy("d", "cut").agg(F.min_by("text", "r").alias("text"), F.min("r").alias("class_id"), F.max(is_train).alias("in_train"), F.max(~is_train).alias("in_eval"))
+    return rows.select("r", "s", "d", keyed.alias("cut")), cuts
 
 
 def near_classes(classes: DataFrame) -> DataFrame:
@@ -207,16 +216,23 @@ def near_classes(classes: DataFrame) -> DataFrame:
     turn into each other by at most one sixth of the longer one's. ``classes``: class_id, in_train, in_eval, text."""
     coded = written(classes.mapInPandas(_encode, "class_id long, in_train boolean, in_eval boolean, n int, words string, code string").where("n > 0"))
     words, pairs, n = _common(coded)
-    keys = written(coded.select("class_id", "words", "in_train", "in_eval").mapInPandas(_emit(words, pairs, n), "class_id long, side int, key long"))
-    asked = keys.where("side = 0").select("key", F.col("class_id").alias("train_class"))
-    given = keys.where("side = -1").select("key", F.col("class_id").alias("eval_class"))
-    cands = asked.join(given, "key").select("train_class", "eval_class")
-    sizes = [r.side for r in keys.where("side > 0").select("side").distinct().collect()]
-    if sizes:
-        shapes = keys.where("side > 0").select("key", F.col("class_id").alias("train_class"))
-        runs = coded.where("in_eval").select("class_id", "words").mapInPandas(_emit_all_runs(sizes), "class_id long, key long")
-        cands = cands.union(shapes.join(runs.select("key", F.col("class_id").alias("eval_class")), "key").select("train_class", "eval_class"))
-    cands = cands.where("train_class != eval_class").distinct()
+    plain = coded.select("class_id", "n", "in_train", "in_eval", "words")
+    asked = written(plain.mapInPandas(_emit_asked(words, pairs, n), _ASKED))
+    later = asked.where("level > 0")
+    levels = sorted(r.level for r in later.select("level").distinct().collect())
+    wanted = 0
+    if levels:
+        for r in later.select("key").coalesce(8).mapInPandas(_filter_bits, "bits binary").collect():
+            wanted |= int.from_bytes(r.bits, "little")
+    given = plain.mapInPandas(_emit_given(words, pairs, n, levels, wanted.to_bytes(FILTER_BITS >> 3, "little")), "class_id long, n int, in_train boolean, in_eval boolean, key long")
+    a, g = asked.drop("level").alias("a"), given.alias("g")
+    near_length = (F.col("g.n") <= F.col("a.n")) & (F.col("a.n") - F.col("g.n") <= F.floor(F.col("a.n") / PART)) & (F.col("a.class_id") != F.col("g.class_id"))
+    met = a.join(g, (F.col("a.key") == F.col("g.key")) & near_length & (F.col("a.in_train") & F.col("g.in_eval") | F.col("a.in_eval") & F.col("g.in_train")))
+    ways = F.array(
+        F.when(F.col("a.in_train") & F.col("g.in_eval"), F.struct(F.col("a.class_id").alias("t"), F.col("g.class_id").alias("e"))),
+        F.when(F.col("a.in_eval") & F.col("g.in_train"), F.struct(F.col("g.class_id").alias("t"), F.col("a.class_id").alias("e"))),
+    )
+    cands = met.select(F.explode(F.array_compact(ways)).alias("w")).select(F.col("w.t").alias("train_class"), F.col("w.e").alias("eval_class")).distinct()
     a = coded.select(F.col("class_id").alias("train_class"), F.col("code").alias("code_a"), F.col("n").alias("n_a"), F.col("words").alias("words_a"))
     b = coded.select(F.col("class_id").alias("eval_class"), F.col("code").alias("code_b"), F.col("n").alias("n_b"), F.col("words").alias("words_b"))
     most = F.floor(F.greatest("n_a", "n_b") / PART).cast("int")
@@ -231,15 +247,13 @@ def cross_split_links(df: DataFrame, row_id: str, text: str, split: str) -> tupl
     """``members(row_id, split, class_id)`` and ``links(train_class, eval_class)``, a class being the texts with the same
     words. Links hold every pair of classes that have the same letters and digits or are near, a class's own pair too
     (when it lies on both sides). Copies are not expanded, so a group of any size costs its rows once."""
-    members, (_, cuts) = text_classes(df, row_id, text, split)
+    members, cuts = text_classes(df, row_id, text, split)
     cuts = written(cuts)
-    classes = cuts.select(F.col("cut_id").alias("class_id"), "in_train", "in_eval", "text")
-    near = near_classes(classes)
-    train, held = (cuts.where(x).select("d", F.col("cut_id").alias(y)) for x, y in (("in_train", "train_class"), ("in_eval", "eval_class")))
+    near = near_classes(cuts.select("class_id", "in_train", "in_eval", "text"))
+    train, held = (cuts.where(x).select("d", F.col("class_id").alias(y)) for x, y in (("in_train", "train_class"), ("in_eval", "eval_class")))
     same = train.join(held, "d").select("train_class", "eval_class")
     links = written(near.union(same).distinct())
-    ids = cuts.select("d", "cut", F.col("cut_id").alias("class_id"))
-    return written(members.join(ids, ["d", "cut"]).select(F.col("r").alias("row_id"), F.col("s").alias("split"), "class_id")), links
+    return written(members.join(cuts.select("d", "cut", "class_id"), ["d", "cut"]).select(F.col("r").alias("row_id"), F.col("s").alias("split"), "class_id")), links
 
 
 def cross_split_pairs(df: DataFrame, row_id: str, text: str, split: str) -> DataFrame:
