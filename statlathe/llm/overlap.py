@@ -1,21 +1,24 @@
 """Same or near-same records across splits (problem 5).
 
 Exact overlaps: hashes of the canonicalised records, evaluation side joined to training side. Near overlaps: of any d + 1
-disjoint word runs of a text, one at least stands whole in every text that is at most d word edits away. As d depends on
-the longer text, each class chooses as many runs as its own length asks for and looks them up among all the runs of
-classes of the other side that are no longer than itself. Runs are chosen where they are rare; every choice of disjoint
-runs is complete, so rarity, which is estimated, only affects speed.
+disjoint word runs of a text, one at least stands whole in every text that is at most d word edits away. So each training
+class chooses one run more than any partner allows edits, and looks them up among all the runs of the evaluation classes.
+Runs are chosen where they are rare; every choice of disjoint runs is complete, so rarity, which is estimated, only affects
+speed. A 64-bit sketch of each text's words travels along: an edit takes at most one word away, so pairs whose sketches
+differ by more than the edits allowed are dropped in the join itself; the rest are confirmed on the words.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statlathe.functions.text import digest, is_blank, letters_digits
+from statlathe.functions.text import digest, is_blank, letters_digits, norm_key
 from statlathe.plans.shared import written
 
 #: At most one word in PART of the longer text may differ.
@@ -25,30 +28,29 @@ PART = 6
 COMMON_PART = 0.0005
 #: A run counts as rare when the expected number of texts that hold it is at most this; texts without enough rare runs
 #: try the next level, and those without enough of these are cut into equal blocks.
-RARE = (2.0, 30.0)
+RARE = (2.0, 10.0, 60.0, 400.0)
 #: Bits of the filter that spares the later levels' runs nobody asks for. However many are asked for, its size is fixed; a
 #: full one lets more through, which the join then drops.
-FILTER_BITS = 1 << 22
+FILTER_BITS = 1 << 25
 #: The longest run that is tried to become rare.
 LONGEST = 6
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-case words, cut at everything that is no letter (with its marks) or digit."""
-    import regex
-
-    return regex.findall(r"[\p{L}\p{M}\p{N}]+", text.lower())
+    """Lower-case words, cut at everything that is no letter or digit."""
+    return re.findall(r"[^\W_]+", text.lower())
 
 
 def allowed(longer: int) -> int:
     return longer // PART
 
 
-def _codes(words: list[str], salt: int) -> str:
-    """A text with one character for each word, so that a character edit distance is a word edit distance."""
-    import xxhash
-
-    return "".join(chr(0x10000 + xxhash.xxh3_64_intdigest(w, salt) % 0xF0000) for w in words)
+def _sketch(words: list[str]) -> int:
+    """A bit for each word, by its hash."""
+    out = 0
+    for w in words:
+        out |= 1 << (zlib.crc32(w.encode()) & 63)
+    return out - (1 << 64) if out >> 63 else out
 
 
 def _hash(words: list[str]) -> int:
@@ -58,6 +60,14 @@ def _hash(words: list[str]) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def longest_partner(n: int) -> int:
+    """The most words of a text that at most a sixth of its words separate from one of ``n``."""
+    m = n * PART // (PART - 1)
+    while m + 1 - n <= allowed(m + 1):
+        m += 1
+    return m
+
+
 class Runs:
     """Chooses runs of words. ``words`` and ``pairs``: shares of the texts that hold a common one; ``n``: number of texts."""
 
@@ -82,9 +92,9 @@ class Runs:
         return out
 
     def chosen(self, w: list[str]) -> tuple[int, list[tuple[int, int]]]:
-        """The level, and disjoint runs, one more than the edits allowed to this text; blocks of q words are level 10 + q.
-        A text to which no edit is allowed has none: only its equals match it."""
-        need = allowed(len(w)) + 1
+        """The level, and disjoint runs, one more than the edits any partner allows; blocks of q words are level 10 + q.
+        A text none of whose partners allows an edit has none: only its equals match it."""
+        need = allowed(longest_partner(len(w))) + 1
         if need == 1:
             return 0, []
         for level in range(len(self.rare)):
@@ -95,8 +105,8 @@ class Runs:
                     end = j
                     if len(out) == need:
                         return level, out
-        q = len(w) // need
-        return 10 + q, [(i * q, i * q + q) for i in range(need)]
+        q = max(1, len(w) // need)
+        return 10 + q, [(i * q, i * q + q) for i in range(min(need, len(w)))]
 
 
 def _common(classes: DataFrame) -> tuple[dict[str, float], dict[str, float], int]:
@@ -111,21 +121,22 @@ def _common(classes: DataFrame) -> tuple[dict[str, float], dict[str, float], int
     return got[0], got[1], n
 
 
-_ASKED = "class_id long, n int, in_train boolean, in_eval boolean, level int, key long"
+_KEYS = "class_id long, n int, sketch long, level int, key long"
 
 
 def _emit_asked(words: dict, pairs: dict, n: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         runs = Runs(words, pairs, n)
         for b in batches:
-            at, level, key = [], [], []
+            at, level, key, sketch = [], [], [], []
             for k, text in enumerate(b["words"]):
                 w = text.split(" ")
+                sketch.append(_sketch(w))
                 x, got = runs.chosen(w)
                 at.extend([k] * len(got))
                 level.extend([x] * len(got))
                 key.extend(_hash([str(x), *w[i:j]] if x else w[i:j]) for i, j in got)
-            out = b[["class_id", "n", "in_train", "in_eval"]].iloc[at].reset_index(drop=True)
+            out = b[["class_id", "n"]].assign(sketch=pd.Series(sketch, index=b.index, dtype="int64")).iloc[at].reset_index(drop=True)
             yield out.assign(level=pd.Series(level, dtype="int32"), key=pd.Series(key, dtype="int64"))
 
     return run
@@ -137,9 +148,10 @@ def _emit_given(words: dict, pairs: dict, n: int, levels: list[int], wanted: byt
 
         runs, bits = Runs(words, pairs, n), np.frombuffer(wanted, dtype=np.uint8)
         for b in batches:
-            at, key = [], []
+            at, key, sketch = [], [], []
             for k, text in enumerate(b["words"]):
                 w = text.split(" ")
+                sketch.append(_sketch(w))
                 mine = {_hash(w[i:j]) for i, j in runs.rare_runs(w)}
                 for x in levels:
                     places = runs.rare_runs(w, x) if x < 10 else [(i, i + x - 10) for i in range(len(w) - x + 11)]
@@ -147,7 +159,7 @@ def _emit_given(words: dict, pairs: dict, n: int, levels: list[int], wanted: byt
                     mine |= {h for h in later if bits[(h % FILTER_BITS) >> 3] >> (h & 7) & 1}
                 at.extend([k] * len(mine))
                 key.extend(mine)
-            out = b[["class_id", "n", "in_train", "in_eval"]].iloc[at].reset_index(drop=True)
+            out = b[["class_id", "n"]].assign(sketch=pd.Series(sketch, index=b.index, dtype="int64")).iloc[at].reset_index(drop=True)
             yield out.assign(key=pd.Series(key, dtype="int64"))
 
     return run
@@ -163,15 +175,6 @@ def _filter_bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"bits": [bits.tobytes()]})
 
 
-def _encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        words = [words_of(t) for t in b["text"]]
-        b["words"] = [" ".join(w) for w in words]
-        b["n"] = [len(w) for w in words]
-        b["code"] = [_codes(w, 1) for w in words]
-        yield b[["class_id", "in_train", "in_eval", "n", "words", "code"]]
-
-
 def _words_distance(a: list[str], b: list[str], most: int) -> bool:
     """Whether the word edit distance is at most ``most``; banded."""
     if abs(len(a) - len(b)) > most:
@@ -206,7 +209,7 @@ def text_classes(df: DataFrame, row_id: str, text: str, split: str, train: str =
     rows = rows.withColumn("d", digest(F.col("flat"))).drop("flat")
     is_train = F.col("s") == train
     # words may be cut differently in texts with the same letters, so each cut is a class of its own
-    keyed = digest(F.lower(F.regexp_replace("text", "[^\\p{L}\\p{M}\\p{N}]+", " ")))
+    keyed = digest(F.lower(F.regexp_replace("text", "[^\\p{L}\\p{N}]+", " ")))
     cuts = rows.withColumn("cut", keyed).groupBy("d", "cut").agg(F.min_by("text", "r").alias("text"), F.min("r").alias("class_id"), F.max(is_train).alias("in_train"), F.max(~is_train).alias("in_eval"))
     return rows.select("r", "s", "d", keyed.alias("cut")), cuts
 
@@ -214,33 +217,27 @@ def text_classes(df: DataFrame, row_id: str, text: str, split: str, train: str =
 def near_classes(classes: DataFrame) -> DataFrame:
     """``(train_class, eval_class)``: all pairs of different classes, one in training and one in evaluation, whose words
     turn into each other by at most one sixth of the longer one's. ``classes``: class_id, in_train, in_eval, text."""
-    coded = written(classes.mapInPandas(_encode, "class_id long, in_train boolean, in_eval boolean, n int, words string, code string").where("n > 0"))
+    coded = classes.select("class_id", "in_train", "in_eval", norm_key(F.col("text")).alias("words")).where("words != ''")
+    coded = written(coded.withColumn("n", F.size(F.split("words", " "))))
     words, pairs, n = _common(coded)
-    plain = coded.select("class_id", "n", "in_train", "in_eval", "words")
-    asked = written(plain.mapInPandas(_emit_asked(words, pairs, n), _ASKED))
+    plain = coded.select("class_id", "n", "words")
+    asked = written(coded.where("in_train").select(*plain.columns).mapInPandas(_emit_asked(words, pairs, n), _KEYS))
     later = asked.where("level > 0")
     levels = sorted(r.level for r in later.select("level").distinct().collect())
     wanted = 0
     if levels:
         for r in later.select("key").coalesce(8).mapInPandas(_filter_bits, "bits binary").collect():
             wanted |= int.from_bytes(r.bits, "little")
-    given = plain.mapInPandas(_emit_given(words, pairs, n, levels, wanted.to_bytes(FILTER_BITS >> 3, "little")), "class_id long, n int, in_train boolean, in_eval boolean, key long")
+    emit = _emit_given(words, pairs, n, levels, wanted.to_bytes(FILTER_BITS >> 3, "little"))
+    given = coded.where("in_eval").select(*plain.columns).mapInPandas(emit, "class_id long, n int, sketch long, key long")
     a, g = asked.drop("level").alias("a"), given.alias("g")
-    near_length = (F.col("g.n") <= F.col("a.n")) & (F.col("a.n") - F.col("g.n") <= F.floor(F.col("a.n") / PART)) & (F.col("a.class_id") != F.col("g.class_id"))
-    met = a.join(g, (F.col("a.key") == F.col("g.key")) & near_length & (F.col("a.in_train") & F.col("g.in_eval") | F.col("a.in_eval") & F.col("g.in_train")))
-    ways = F.array(
-        F.when(F.col("a.in_train") & F.col("g.in_eval"), F.struct(F.col("a.class_id").alias("t"), F.col("g.class_id").alias("e"))),
-        F.when(F.col("a.in_eval") & F.col("g.in_train"), F.struct(F.col("g.class_id").alias("t"), F.col("a.class_id").alias("e"))),
-    )
-    cands = met.select(F.explode(F.array_compact(ways)).alias("w")).select(F.col("w.t").alias("train_class"), F.col("w.e").alias("eval_class")).distinct()
-    a = coded.select(F.col("class_id").alias("train_class"), F.col("code").alias("code_a"), F.col("n").alias("n_a"), F.col("words").alias("words_a"))
-    b = coded.select(F.col("class_id").alias("eval_class"), F.col("code").alias("code_b"), F.col("n").alias("n_b"), F.col("words").alias("words_b"))
-    most = F.floor(F.greatest("n_a", "n_b") / PART).cast("int")
-    # equal codes for different words could only make a distance smaller: what passes is confirmed on the words
-    near = cands.join(a.drop("words_a"), "train_class").join(b.drop("words_b"), "eval_class").where(F.abs(F.col("n_a") - F.col("n_b")) <= most)
-    near = near.where(F.levenshtein("code_a", "code_b") <= most).select("train_class", "eval_class")
-    full = near.join(a.select("train_class", "words_a"), "train_class").join(b.select("eval_class", "words_b"), "eval_class")
-    return full.mapInPandas(_confirm, "train_class long, eval_class long")
+    most = F.floor(F.greatest("a.n", "g.n") / PART)
+    lost = lambda x, y: F.bit_count(F.col(f"{x}.sketch").bitwiseAND(F.bitwise_not(F.col(f"{y}.sketch"))))
+    close = (F.abs(F.col("a.n") - F.col("g.n")) <= most) & (lost("a", "g") <= most) & (lost("g", "a") <= most) & (F.col("a.class_id") != F.col("g.class_id"))
+    cands = a.join(g, (F.col("a.key") == F.col("g.key")) & close).select(F.col("a.class_id").alias("train_class"), F.col("g.class_id").alias("eval_class")).distinct()
+    left = plain.select(F.col("class_id").alias("train_class"), F.col("words").alias("words_a"))
+    right = plain.select(F.col("class_id").alias("eval_class"), F.col("words").alias("words_b"))
+    return cands.join(left, "train_class").join(right, "eval_class").mapInPandas(_confirm, "train_class long, eval_class long")
 
 
 def cross_split_links(df: DataFrame, row_id: str, text: str, split: str) -> tuple[DataFrame, DataFrame]:
