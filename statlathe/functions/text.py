@@ -37,8 +37,8 @@ def norm_key(c: Column) -> Column:
 
 
 def letters_digits(c: Column) -> Column:
-    """Only letters (with the marks that belong to them) and digits, in lower case. NULL gives ''."""
-    return F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), "[^\\p{L}\\p{M}\\p{N}]+", ""))
+    """Only letters and digits, in lower case. NULL gives ''."""
+    return F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), "[^\\p{L}\\p{N}]+", ""))
 
 
 def digest(c: Column) -> Column:
