@@ -28,7 +28,7 @@ PART = 6
 COMMON_PART = 0.0005
 #: A run counts as rare when the expected number of texts that hold it is at most this; texts without enough rare runs
 #: try the next level, and those without enough of these are cut into equal blocks.
-RARE = (2.0, 10.0, 60.0, 400.0)
+RARE = (6.0, 60.0, 400.0)
 #: Bits of the filter that spares the later levels' runs nobody asks for. However many are asked for, its size is fixed; a
 #: full one lets more through, which the join then drops.
 FILTER_BITS = 1 << 25
@@ -76,19 +76,28 @@ class Runs:
         self.floor = COMMON_PART / 2
         self.rare = [r / max(n, 1) for r in RARE]
 
-    def rare_runs(self, w: list[str], level: int = 0) -> list[tuple[int, int]]:
-        """At each place the shortest run that starts there and is rare; a function of the run's own words alone."""
+    def shares(self, w: list[str]) -> tuple[list[float], list[float]]:
+        """The share of texts that hold each pair of neighbours, and by how much each further word lessens it."""
         f, g, floor = self.words, self.pairs, self.floor
         one = [f.get(x, floor) for x in w]
-        step = [min(1.0, g.get(a + " " + b, min(floor, 4 * p * q)) / p) for a, b, p, q in zip(w, w[1:], one, one[1:], strict=False)]
+        two = [g.get(a + " " + b) or min(floor, 4 * p * q) for a, b, p, q in zip(w, w[1:], one, one[1:], strict=False)]
+        return two, [min(1.0, x / p) for x, p in zip(two, one, strict=False)]
+
+    def rare_runs(self, w: list[str], level: int = 0, shares=None) -> list[tuple[int, int]]:
+        """At each place the shortest run that starts there and is rare; a function of the run's own words alone."""
+        two, step = shares or self.shares(w)
         out, n, rare = [], len(w), self.rare[level]
-        for i in range(n - 1):
-            p, j, last = one[i] * step[i], i + 2, min(n, i + LONGEST)
-            while p > rare and j < last:
-                p *= step[j - 1]
-                j += 1
-            if p <= rare:
+        for i, p in enumerate(two):
+            if p > rare:
+                j, last = i + 2, min(n, i + LONGEST)
+                while p > rare and j < last:
+                    p *= step[j - 1]
+                    j += 1
+                if p > rare:
+                    continue
                 out.append((i, j))
+            else:
+                out.append((i, i + 2))
         return out
 
     def chosen(self, w: list[str]) -> tuple[int, list[tuple[int, int]]]:
@@ -97,9 +106,10 @@ class Runs:
         need = allowed(longest_partner(len(w))) + 1
         if need == 1:
             return 0, []
+        shares = self.shares(w)
         for level in range(len(self.rare)):
             out, end = [], 0
-            for i, j in sorted(self.rare_runs(w, level), key=lambda x: x[1]):
+            for i, j in sorted(self.rare_runs(w, level, shares), key=lambda x: x[1]):
                 if i >= end:
                     out.append((i, j))
                     end = j
@@ -142,7 +152,7 @@ def _emit_asked(words: dict, pairs: dict, n: int):
     return run
 
 
-def _emit_given(words: dict, pairs: dict, n: int, levels: list[int], wanted: bytes):
+def _emit_given(words: dict, pairs: dict, n: int, levels: list[tuple[int, int, int]], wanted: bytes):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
 
@@ -152,9 +162,12 @@ def _emit_given(words: dict, pairs: dict, n: int, levels: list[int], wanted: byt
             for k, text in enumerate(b["words"]):
                 w = text.split(" ")
                 sketch.append(_sketch(w))
-                mine = {_hash(w[i:j]) for i, j in runs.rare_runs(w)}
-                for x in levels:
-                    places = runs.rare_runs(w, x) if x < 10 else [(i, i + x - 10) for i in range(len(w) - x + 11)]
+                shares = runs.shares(w)
+                mine = {_hash(w[i:j]) for i, j in runs.rare_runs(w, 0, shares)}
+                for x, low, high in levels:
+                    if allowed(max(low, len(w))) < low - len(w) or allowed(len(w)) < len(w) - high:
+                        continue  # no asker of this level is near enough in length
+                    places = runs.rare_runs(w, x, shares) if x < 10 else [(i, i + x - 10) for i in range(len(w) - x + 11)]
                     later = {_hash([str(x), *w[i:j]]) for i, j in places}
                     mine |= {h for h in later if bits[(h % FILTER_BITS) >> 3] >> (h & 7) & 1}
                 at.extend([k] * len(mine))
@@ -223,7 +236,7 @@ def near_classes(classes: DataFrame) -> DataFrame:
     plain = coded.select("class_id", "n", "words")
     asked = written(coded.where("in_train").select(*plain.columns).mapInPandas(_emit_asked(words, pairs, n), _KEYS))
     later = asked.where("level > 0")
-    levels = sorted(r.level for r in later.select("level").distinct().collect())
+    levels = [tuple(r) for r in later.groupBy("level").agg(F.min("n"), F.max("n")).orderBy("level").collect()]
     wanted = 0
     if levels:
         for r in later.select("key").coalesce(8).mapInPandas(_filter_bits, "bits binary").collect():
