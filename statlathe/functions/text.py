@@ -44,3 +44,49 @@ def letters_digits(c: Column) -> Column:
 def digest(c: Column) -> Column:
     """16 bytes that stand for a text when grouping or joining; equality is confirmed on the text where it matters."""
     return F.unhex(F.md5(c.cast("binary")))
+
+
+def clean_text(c: Column) -> Column:
+    """Curly quotes and dashes to ASCII, white space squeezed, lost apostrophes of known contractions restored (closing
+    punctuation is kept, opening punctuation of a repaired token is not). NULL gives ''."""
+    table = F.create_map(*[F.lit(x) for kv in CONTRACTIONS.items() for x in kv])
+    plain = F.translate(F.coalesce(c, F.lit("")), "‘’“”–—", "''\"\"--")
+
+    def repaired(tok: Column) -> Column:
+        bare = F.regexp_replace(F.lower(tok), "^[.,!?;:\"'()]+|[.,!?;:\"'()]+$", "")
+        return F.when(F.try_element_at(table, bare).isNotNull(), F.concat(F.try_element_at(table, bare), F.regexp_extract(tok, "[.,!?;:\"')]*$", 0))).otherwise(tok)
+
+    return F.array_join(F.transform(F.split(squeeze(plain), " "), repaired), " ")
+
+
+def digit_tokens(c: Column) -> Column:
+    return F.array_sort(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("[0-9]+"), F.lit(0)))
+
+
+def word_count(c: Column) -> Column:
+    words = squeeze(F.coalesce(c, F.lit("")))
+    return F.when(words == "", 0).otherwise(F.size(F.split(words, " ")))
+
+
+def subject_list(c: Column) -> Column:
+    """The '$'-separated values of a well-formed subjects string, trimmed, without empty ones."""
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "[$]"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def or_unknown(c: Column) -> Column:
+    return F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit("[unknown]"))
+
+
+def parse_score(c: Column) -> Column:
+    """The first number of a response, held within 0 and 100; NULL without one."""
+    number = F.nullif(F.regexp_extract(c, "[0-9]+(?:\\.[0-9]+)?", 0), F.lit("")).try_cast("double")
+    return F.when(number.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), number)))
+
+
+def first_token_probability(tokens: Column) -> Column:
+    """P(True) from a map of first tokens to log probabilities: the greatest of each side, their ratio when both are
+    there, one side alone otherwise, NULL with neither."""
+    side = lambda word: F.array_max(F.transform(F.filter(F.map_entries(tokens), lambda e: F.lower(F.trim(e.key)).startswith(word)), lambda e: F.exp(e.value)))
+    t, f = side("true"), side("false")
+    p = F.when(t.isNotNull() & f.isNotNull(), t / (t + f)).when(f.isNotNull(), 1 - f).otherwise(t)
+    return F.when(p.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)))

@@ -5,13 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from statlathe.operators import packed
+from statlathe.functions import text as tx
+from statlathe.operators import calibrate, explain, metrics, packed, pool, quality, resample, retrieve, scoring, split, threshold
+from statlathe.plans.shared import written
+from statlathe.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
+TEMPERATURE = {"method": "temperature", "T": 1.5}
+PLATT = {"method": "platt", "A": 0.8, "B": 0.1}
+WEIGHTS = {"speaker_name": 0.12, "speaker_affiliation": 0.07, "subjects": 0.05, "statement_context": 0.02, "speaker_job": 0.11, "speaker_state": 0.03}
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -27,6 +35,48 @@ def register(sql: str | None = None):
     return add
 
 
+def _sql_binarize(scheme: str) -> str:
+    true = ", ".join(f"'{x}'" for x in quality.TRUE_UNDER[scheme])
+    known = ", ".join(f"'{x}'" for x in quality.LABELS)
+    return f"CASE WHEN lower(trim(label)) IN ({true}) THEN 1 WHEN lower(trim(label)) IN ({known}) THEN 0 END"
+
+
+# The same bindings in both engines: labelled statements, and the latest measured scores of labelled statements.
+LAB = f"lab AS (SELECT * FROM (SELECT *, {_sql_binarize('primary')} AS y FROM statements) WHERE y IS NOT NULL AND norm_key IS NOT NULL AND norm_key <> '')"
+SCORED = (
+    f"scored AS (SELECT s.row_id, s.model_name, s.prob AS p, s.pred, t.y, t.split_name FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row_id, model_name ORDER BY scored_at DESC NULLS LAST, prob DESC NULLS LAST, pred DESC NULLS LAST) AS k FROM scored_predictions) WHERE k = 1 AND measured IS DISTINCT FROM FALSE AND prob IS NOT NULL AND pred IS NOT NULL) s"
+    f" JOIN (SELECT row_id, split_name, {_sql_binarize('primary')} AS y FROM statements) t ON s.row_id = t.row_id WHERE t.y IS NOT NULL)"
+)
+HIST = f"{SCORED}, hist AS (SELECT model_name, p, sum(y) AS pos, sum(1 - y) AS neg, count(*) AS n FROM scored GROUP BY model_name, p)"
+POINTS = (
+    f"{HIST}, run AS (SELECT *, sum(pos) OVER w AS c_pos, sum(neg) OVER w AS c_neg, sum(pos) OVER a AS tp_all, sum(neg) OVER a AS fp_all FROM hist WINDOW w AS (PARTITION BY model_name ORDER BY p DESC), a AS (PARTITION BY model_name)),"
+    " pts AS (SELECT model_name, p AS threshold, c_pos AS tp, c_neg AS fp, tp_all - c_pos AS fn, fp_all - c_neg AS tn FROM run)"
+)
+CONF = f"{SCORED}, conf AS (SELECT model_name, CASE WHEN p >= 0.5 THEN p ELSE 1 - p END AS conf, CASE WHEN (p >= 0.5) = (y = 1) THEN 1 ELSE 0 END AS hit FROM scored)"
+CONFUSION = f"{SCORED}, c AS (SELECT model_name, count(*) FILTER (y = 1 AND pred = 1) AS tp, count(*) FILTER (y = 0 AND pred = 0) AS tn, count(*) FILTER (y = 0 AND pred = 1) AS fp, count(*) FILTER (y = 1 AND pred = 0) AS fn FROM scored GROUP BY model_name)"
+BALANCED = "(tp / nullif(tp + fn, 0)::DOUBLE + tn / nullif(tn + fp, 0)::DOUBLE) / 2"
+MACRO = "(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 0) + coalesce(2 * tn / nullif(2 * tn + fp + fn, 0)::DOUBLE, 0)) / 2"
+BLANK = "regexp_replace(coalesce({0}, ''), '[\\s\\x{{1C}}-\\x{{1F}}\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+', '', 'g') = ''"
+SQUEEZE = "trim(regexp_replace(coalesce({0}, ''), '[\\s\\x{{1C}}-\\x{{1F}}\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+', ' ', 'g'))"
+
+
+def _lab(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.labelled(table(spark, folder, "statements"))
+
+
+def _scored(spark: SparkSession, folder: str) -> DataFrame:
+    s = scoring.latest_scores(table(spark, folder, "scored_predictions")).where("measured is distinct from false and prob is not null and pred is not null")
+    y = table(spark, folder, "statements").select("row_id", "split_name", quality.binarize(F.col("label")).alias("y")).where("y is not null")
+    return s.join(y, "row_id").select("row_id", "model_name", F.col("prob").alias("p"), "pred", "y", "split_name")
+
+
+def _hist(spark: SparkSession, folder: str) -> DataFrame:
+    return metrics.histogram(_scored(spark, folder))
+
+
+# --- packed fields
+
+
 @register()
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return packed.unpack(table(spark, folder, "statements"), "row_id", "subjects", least=2).withColumnRenamed("value", "subject_value")
@@ -35,3 +85,504 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 @register()
 def p7_values(spark: SparkSession, folder: str) -> DataFrame:
     return packed.unpack(table(spark, folder, "statements"), "row_id", "subjects").withColumnRenamed("value", "subject_value")
+
+
+# --- text
+
+
+@register("SELECT row_id, trim(lower(regexp_replace(statement, '[^\\p{L}\\p{N}]+', ' ', 'g'))) AS key FROM statements")
+def norm_key(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "statements").select("row_id", tx.norm_key(F.col("statement")).alias("key"))
+
+
+_MAP = "MAP {" + ", ".join(f"'{k}': '{v.replace(chr(39), chr(39) * 2)}'" for k, v in tx.CONTRACTIONS.items()) + "}"
+_PLAIN = SQUEEZE.format("translate(statement, '‘’“”–—', '''''\"\"--')")
+_BARE = "regexp_replace(lower(t), '^[.,!?;:\"''()]+|[.,!?;:\"''()]+$', '', 'g')"
+
+
+@register(f"SELECT row_id, array_to_string(list_transform(string_split({_PLAIN}, ' '), lambda t: coalesce({_MAP}[{_BARE}] || regexp_extract(t, '[.,!?;:\"'')]*$'), t)), ' ') AS clean FROM statements")
+def clean_text(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "statements").select("row_id", tx.clean_text(F.col("statement")).alias("clean"))
+
+
+@register(f"SELECT row_id, array_to_string(list_sort(regexp_extract_all(statement, '[0-9]+')), ' ') AS digits, CASE WHEN {SQUEEZE.format('statement')} = '' THEN 0 ELSE len(string_split({SQUEEZE.format('statement')}, ' ')) END AS words FROM statements")
+def digits_and_words(spark: SparkSession, folder: str) -> DataFrame:
+    s = F.col("statement")
+    return table(spark, folder, "statements").select("row_id", F.array_join(tx.digit_tokens(s), " ").alias("digits"), tx.word_count(s).alias("words"))
+
+
+_SUBJECTS = "list_filter(list_transform(string_split(coalesce(subjects, ''), '$'), lambda x: trim(x)), lambda x: x <> '')"
+
+
+@register(f"SELECT row_id, array_to_string({_SUBJECTS}, '|') AS subjects_joined FROM statements")
+def subject_lists(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "statements").select("row_id", F.array_join(tx.subject_list(F.col("subjects")), "|").alias("subjects_joined"))
+
+
+def _sql_prompt(mode: str, variant: str) -> str:
+    unknown = lambda c: f"coalesce(nullif(trim({c}), ''), '[unknown]')"
+    lines = [f"'{label}: ' || {unknown(f'array_to_string({_SUBJECTS}, chr(44) || chr(32))') if c == 'subjects' else unknown(c)}" for label, c in files.LINES]
+    parts = ["'Statement: ' || coalesce(nullif(statement_clean, ''), statement)", *(lines if variant == "full" else []), f"'{files.QUESTION[mode]}'"]
+    return "concat_ws(chr(10), " + ", ".join(parts) + ")"
+
+
+@register(f"SELECT row_id, {_sql_prompt('decision', 'full')} AS prompt FROM statements")
+def prompts_full(spark: SparkSession, folder: str) -> DataFrame:
+    d = table(spark, folder, "statements")
+    return d.select("row_id", files.user_prompt(d).alias("prompt"))
+
+
+@register(f"SELECT row_id, {_sql_prompt('score', 'statement_only')} AS prompt FROM statements")
+def prompts_statement_only(spark: SparkSession, folder: str) -> DataFrame:
+    d = table(spark, folder, "statements")
+    return d.select("row_id", files.user_prompt(d, "statement_only", "score").alias("prompt"))
+
+
+@register()
+def training_records(spark: SparkSession, folder: str) -> DataFrame:
+    return files.training_records(_lab(spark, folder).where("split_name = 'train'"))
+
+
+@register("SELECT cache_key, row_id, written_at, response_text, CASE WHEN try_cast(nullif(regexp_extract(response_text, '[0-9]+(?:\\.[0-9]+)?'), '') AS DOUBLE) IS NOT NULL THEN least(100.0, try_cast(nullif(regexp_extract(response_text, '[0-9]+(?:\\.[0-9]+)?'), '') AS DOUBLE)) END AS score FROM response_cache")
+def parse_score(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "response_cache").select("cache_key", "row_id", "written_at", "response_text", tx.parse_score(F.col("response_text")).alias("score"))
+
+
+@register("SELECT row_id, round(CASE WHEN row_id % 5 = 4 THEN NULL WHEN row_id % 5 = 3 THEN 1 - exp(-0.1 * (1 + row_id % 7)) WHEN row_id % 5 = 2 THEN exp(-0.1 * (1 + row_id % 11)) ELSE exp(-0.1 * (1 + row_id % 11)) / (exp(-0.1 * (1 + row_id % 11)) + exp(-0.1 * (1 + row_id % 7))) END, 9) AS p FROM statements")
+def first_token_probability(spark: SparkSession, folder: str) -> DataFrame:
+    t, f, r = -0.1 * (1 + F.col("row_id") % 11), -0.1 * (1 + F.col("row_id") % 7), F.col("row_id") % 5
+    m = F.when(r == 4, F.create_map(F.lit("maybe"), t)).when(r == 3, F.create_map(F.lit(" False"), f)).when(r == 2, F.create_map(F.lit("true"), t)).otherwise(F.create_map(F.lit("True"), t, F.lit(" false"), f))
+    return table(spark, folder, "statements").select("row_id", F.round(tx.first_token_probability(m), 9).alias("p"))
+
+
+# --- quality
+
+
+@register(f"WITH {LAB} SELECT norm_key, min(row_id) AS first_id, count(*) AS n FROM lab GROUP BY norm_key HAVING min(y) <> max(y)")
+def contradiction_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.contradictory_keys(_lab(spark, folder)).select("norm_key", "first_id", "n")
+
+
+@register(f"WITH {LAB} SELECT row_id, y FROM lab WHERE norm_key NOT IN (SELECT norm_key FROM lab GROUP BY norm_key HAVING min(y) <> max(y))")
+def clean_dataset(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.clean_dataset(_lab(spark, folder)).select("row_id", "y")
+
+
+@register(f"WITH {LAB}, bad AS (SELECT norm_key, count(*) AS n FROM lab GROUP BY norm_key HAVING min(y) <> max(y)) SELECT (SELECT count(*) FROM lab) AS n_in, (SELECT count(*) FROM lab) - coalesce(sum(n), 0)::BIGINT AS n_out, coalesce(sum(n), 0)::BIGINT AS n_dropped, count(*) AS n_groups FROM bad")
+def clean_report(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.clean_report(_lab(spark, folder))
+
+
+@register(
+    f"WITH {LAB}, d AS (SELECT norm_key, row_id, speaker_name, array_to_string(list_sort(regexp_extract_all(statement, '[0-9]+')), ' ') AS dg, len(string_split({SQUEEZE.format('statement')}, ' ')) AS wc FROM lab)"
+    " SELECT norm_key, count(*) AS n, count(DISTINCT speaker_name) AS n_speakers, min(row_id) AS first_id, (min(dg) <> max(dg) OR max(wc) - min(wc) > 2) AS suspicious FROM d GROUP BY norm_key HAVING count(*) > 1 AND count(DISTINCT speaker_name) > 1"
+)
+def cross_speaker_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.cross_speaker_repeats(_lab(spark, folder))
+
+
+@register("SELECT d.ord, d.label, count(s.label) AS n FROM (VALUES " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(quality.LABELS)) + ") d(ord, label) LEFT JOIN statements s ON lower(trim(s.label)) = d.label GROUP BY ALL")
+def label_distribution(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.label_distribution(table(spark, folder, "statements"))
+
+
+def _balance(scheme: str) -> str:
+    return f"WITH b AS (SELECT {_sql_binarize(scheme)} AS y FROM statements) SELECT sum(y)::BIGINT AS n_true, sum(1 - y)::BIGINT AS n_false, round(avg(y), 6) AS fraction_true FROM b WHERE y IS NOT NULL"
+
+
+@register(_balance("primary"))
+def class_balance(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.class_balance(table(spark, folder, "statements").select(quality.binarize(F.col("label")).alias("y")).where("y is not null"))
+
+
+@register(_balance("sensitivity"))
+def class_balance_sensitivity(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.class_balance(table(spark, folder, "statements").select(quality.binarize(F.col("label"), "sensitivity").alias("y")).where("y is not null"))
+
+
+_MISSING = ["label", *files.COLUMNS, "statement_clean", "norm_key", "split_name"]
+
+
+@register(" UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER ({BLANK.format(c)}) AS n_missing, round(count(*) FILTER ({BLANK.format(c)}) / count(*) * 100, 4) AS pct FROM statements" for c in _MISSING))
+def missing_share(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.missing_share(table(spark, folder, "statements"), _MISSING)
+
+
+_WC = f"CASE WHEN {SQUEEZE.format('statement')} = '' THEN 0 ELSE len(string_split({SQUEEZE.format('statement')}, ' ')) END"
+
+
+@register(f"WITH w AS (SELECT {_WC} AS wc FROM statements) SELECT CASE WHEN wc < 5 THEN '0-4' WHEN wc < 10 THEN '5-9' WHEN wc < 20 THEN '10-19' WHEN wc < 30 THEN '20-29' ELSE '30+' END AS bucket, count(*) AS n, min(wc) AS shortest, max(wc) AS longest FROM w GROUP BY 1")
+def length_buckets(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.length_buckets(table(spark, folder, "statements"), "statement")
+
+
+@register("SELECT (SELECT count(*) - count(DISTINCT statement) FROM statements) AS exact_repeats, (SELECT sum(n - 1)::BIGINT FROM (SELECT count(*) AS n FROM statements WHERE trim(norm_key) <> '' GROUP BY norm_key)) AS key_repeats, (SELECT count(*) FROM (SELECT 1 FROM statements WHERE trim(norm_key) <> '' GROUP BY norm_key HAVING count(*) > 1)) AS repeated_keys")
+def repeat_stats(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.repeats(table(spark, folder, "statements"))
+
+
+@register(f"SELECT speaker_name AS value, count(*) AS n, min(row_id) AS first_id FROM statements WHERE NOT ({BLANK.format('speaker_name')}) GROUP BY speaker_name ORDER BY n DESC, first_id LIMIT 20")
+def top_speakers(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.top_values(table(spark, folder, "statements"), "speaker_name", 20)
+
+
+@register(f"WITH {LAB} SELECT speaker_affiliation AS value, count(*) AS n, round(avg(y), 6) AS true_rate FROM lab WHERE NOT ({BLANK.format('speaker_affiliation')}) GROUP BY 1 HAVING count(*) >= 5")
+def truth_rate_by_affiliation(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.rate_by(_lab(spark, folder), "speaker_affiliation", 5)
+
+
+@register(f"WITH x AS (SELECT row_id, unnest({_SUBJECTS}) AS subject FROM statements) SELECT subject, count(*) AS n, min(row_id) AS first_id FROM x GROUP BY subject")
+def subject_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.subject_counts(table(spark, folder, "statements"))
+
+
+@register(f"WITH t AS (SELECT unnest(string_split({SQUEEZE.format('lower(statement)')}, ' ')) AS tok FROM statements) SELECT regexp_replace(tok, '^[.,!?;:\"''()]+|[.,!?;:\"''()]+$', '', 'g') AS token, count(*) AS n FROM t GROUP BY 1 HAVING token IN (" + ", ".join(f"'{k}'" for k in tx.CONTRACTIONS) + ")")
+def damaged_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    tok = F.explode(F.split(tx.squeeze(F.lower("statement")), " "))
+    d = table(spark, folder, "statements").select(tok.alias("tok"))
+    bare = F.regexp_replace("tok", "^[.,!?;:\"'()]+|[.,!?;:\"'()]+$", "")
+    return d.select(bare.alias("token")).where(F.col("token").isin(list(tx.CONTRACTIONS))).groupBy("token").agg(F.count("*").alias("n"))
+
+
+@register(f"SELECT count(*) FILTER ({_WC} < 5) AS very_short, count(*) FILTER (NOT regexp_matches(statement, '[0-9]')) AS no_digit, count(*) FILTER (regexp_matches(statement, '[^\\x00-\\x7F]')) AS not_ascii FROM statements")
+def text_predicates(spark: SparkSession, folder: str) -> DataFrame:
+    s = F.col("statement")
+    return table(spark, folder, "statements").agg(F.count_if(tx.word_count(s) < 5).alias("very_short"), F.count_if(~s.rlike("[0-9]")).alias("no_digit"), F.count_if(s.rlike("[^\\x00-\\x7F]")).alias("not_ascii"))
+
+
+# --- metrics
+
+
+@register(f"WITH {CONFUSION} SELECT * FROM c")
+def confusion(spark: SparkSession, folder: str) -> DataFrame:
+    return metrics.confusion(_scored(spark, folder))
+
+
+@register(f"WITH {CONFUSION} SELECT model_name, round(tp / nullif(tp + fp, 0)::DOUBLE, 6) AS precision_true, round(tp / nullif(tp + fn, 0)::DOUBLE, 6) AS recall_true, round(tn / nullif(tn + fn, 0)::DOUBLE, 6) AS precision_false, round(tn / nullif(tn + fp, 0)::DOUBLE, 6) AS recall_false FROM c")
+def precision_recall(spark: SparkSession, folder: str) -> DataFrame:
+    m = metrics.class_metrics(metrics.confusion(_scored(spark, folder)))
+    return m.select("model_name", *[F.round(c, 6).alias(c) for c in ("precision_true", "recall_true", "precision_false", "recall_false")])
+
+
+_RANK = f"{POINTS}, rk AS (SELECT model_name, sum(neg * (c_pos - pos / 2)) / nullif(sum(pos) * sum(neg), 0)::DOUBLE AS roc_auc, sum(pos * c_pos / (c_pos + c_neg)::DOUBLE) / nullif(sum(pos), 0) AS pr_auc FROM run GROUP BY model_name)"
+
+
+@register(f"WITH {_RANK} SELECT model_name, round(roc_auc, 6) AS roc_auc, round(pr_auc, 6) AS pr_auc FROM rk")
+def ranking(spark: SparkSession, folder: str) -> DataFrame:
+    return metrics.ranking(_hist(spark, folder)).select("model_name", F.round("roc_auc", 6).alias("roc_auc"), F.round("pr_auc", 6).alias("pr_auc"))
+
+
+@register(f"WITH {SCORED} SELECT model_name, round(avg((p - y) * (p - y)), 6) AS brier FROM scored GROUP BY model_name")
+def brier(spark: SparkSession, folder: str) -> DataFrame:
+    return metrics.brier(_hist(spark, folder)).select("model_name", F.round("brier", 6).alias("brier"))
+
+
+@register(
+    f"WITH {SCORED}, b AS (SELECT model_name, " + " + ".join(f"(p >= {i / 10})::INT" for i in range(1, 10)) + " AS bin, p, y FROM scored), e AS (SELECT DISTINCT model_name, r.bin FROM scored, range(10) r(bin))"
+    " SELECT e.model_name, e.bin::INT AS bin, count(b.p) AS n, round(avg(b.p), 6) AS mean_pred, round(avg(b.y), 6) AS frac_pos FROM e LEFT JOIN b ON e.model_name = b.model_name AND e.bin = b.bin GROUP BY ALL"
+)
+def reliability_curve(spark: SparkSession, folder: str) -> DataFrame:
+    return metrics.reliability_curve(_hist(spark, folder))
+
+
+_ECE = "SELECT model_name, round(sum(k * abs(acc - mc)) / sum(k), 6) AS ece, count(*) AS occupied FROM (SELECT model_name, bin, count(*) AS k, avg(hit) AS acc, avg(conf) AS mc FROM b GROUP BY model_name, bin) GROUP BY model_name"
+
+
+@register(f"WITH {CONF}, b AS (SELECT *, " + " + ".join(f"(conf >= {i / 10})::INT" for i in range(1, 10)) + f" AS bin FROM conf) {_ECE}")
+def ece_uniform(spark: SparkSession, folder: str) -> DataFrame:
+    return metrics.ece_uniform(_hist(spark, folder)).select("model_name", F.round("ece", 6).alias("ece"), "occupied")
+
+
+@register(
+    f"WITH {CONF}, q AS (SELECT model_name, list_sort(list_distinct(quantile_cont(conf, [" + ", ".join(str(i / 10) for i in range(11)) + "]))) AS edges FROM conf GROUP BY model_name),"
+    f" b AS (SELECT c.*, len(list_filter(q.edges[2:len(q.edges) - 1], lambda e: e <= c.conf)) AS bin FROM conf c JOIN q ON c.model_name = q.model_name) {_ECE}"
+)
+def ece_quantile(spark: SparkSession, folder: str) -> DataFrame:
+    return metrics.ece_quantile(_hist(spark, folder)).select("model_name", F.round("ece", 6).alias("ece"), "occupied")
+
+
+@register(f"WITH {_RANK}, cm AS (SELECT model_name, count(*) FILTER (y = 1 AND pred = 1) AS tp, count(*) FILTER (y = 0 AND pred = 0) AS tn, count(*) FILTER (y = 0 AND pred = 1) AS fp, count(*) FILTER (y = 1 AND pred = 0) AS fn, avg((p - y) * (p - y)) AS brier FROM scored GROUP BY model_name) SELECT model_name, round((tp + tn) / (tp + tn + fp + fn)::DOUBLE, 6) AS accuracy, round({BALANCED}, 6) AS balanced_accuracy, round({MACRO}, 6) AS macro_f1, round(roc_auc, 6) AS roc_auc, round(pr_auc, 6) AS pr_auc, round(brier, 6) AS brier FROM cm JOIN rk USING (model_name)")
+def metric_bundle(spark: SparkSession, folder: str) -> DataFrame:
+    keep = ["accuracy", "balanced_accuracy", "macro_f1", "roc_auc", "pr_auc", "brier"]
+    return metrics.metric_bundle(_scored(spark, folder)).select("model_name", *[F.round(c, 6).alias(c) for c in keep])
+
+
+@register(f"WITH {SCORED}, g AS (SELECT model_name, avg(y) AS base, avg((pred = y)::INT) AS acc FROM scored GROUP BY model_name) SELECT model_name, (base >= 0.5)::INT AS majority, round(greatest(base, 1 - base), 6) AS baseline, round(acc - greatest(base, 1 - base), 6) AS delta FROM g")
+def majority_baseline(spark: SparkSession, folder: str) -> DataFrame:
+    return metrics.majority_baseline(_scored(spark, folder))
+
+
+def _pairs(spark: SparkSession, folder: str) -> DataFrame:
+    d = _scored(spark, folder)
+    a = d.where("model_name = 'base-logprob'").select("row_id", "y", F.col("pred").alias("pred_a"), F.col("p").alias("p_a"))
+    b = d.where("model_name = 'tuned-logprob'").select("row_id", F.col("pred").alias("pred_b"), F.col("p").alias("p_b"))
+    return a.join(b, "row_id")
+
+
+PAIRS = f"{SCORED}, pairs AS (SELECT a.row_id, a.y, a.pred AS pred_a, b.pred AS pred_b, a.p AS p_a, b.p AS p_b FROM scored a JOIN scored b ON a.row_id = b.row_id AND a.model_name = 'base-logprob' AND b.model_name = 'tuned-logprob')"
+
+
+@register(f"WITH {PAIRS}, m AS (SELECT count(*) FILTER (pred_a = y AND pred_b <> y) AS b, count(*) FILTER (pred_a <> y AND pred_b = y) AS c FROM pairs) SELECT b, c, CASE WHEN b = c THEN 0.0 ELSE round(pow(abs(b - c) - 1, 2) / (b + c)::DOUBLE, 6) END AS chi2 FROM m")
+def mcnemar(spark: SparkSession, folder: str) -> DataFrame:
+    return metrics.mcnemar(_pairs(spark, folder)).select("b", "c", "chi2")
+
+
+# --- thresholds
+
+
+def _tune(objective: str) -> str:
+    return f"WITH {POINTS}, o AS (SELECT model_name, threshold, round({objective}, 9) AS value FROM pts) SELECT model_name, threshold, value FROM (SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY value DESC, threshold) AS k FROM o) WHERE k = 1"
+
+
+@register(_tune(BALANCED))
+def tune_threshold(spark: SparkSession, folder: str) -> DataFrame:
+    return threshold.tune_threshold(_hist(spark, folder))
+
+
+@register(_tune(MACRO))
+def tune_threshold_f1(spark: SparkSession, folder: str) -> DataFrame:
+    return threshold.tune_threshold(_hist(spark, folder), "macro_f1")
+
+
+@register(f"WITH {POINTS}, o AS (SELECT model_name, threshold, 1.0::DOUBLE * fn + 2.0::DOUBLE * fp AS cost FROM pts) SELECT model_name, threshold, cost FROM (SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY cost, threshold) AS k FROM o) WHERE k = 1")
+def tune_cost_threshold(spark: SparkSession, folder: str) -> DataFrame:
+    return threshold.tune_cost_threshold(_hist(spark, folder), 1.0, 2.0)
+
+
+@register(f"WITH {POINTS} SELECT model_name, threshold, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, tn::BIGINT AS tn FROM pts")
+def operating_points(spark: SparkSession, folder: str) -> DataFrame:
+    return threshold.operating_points(_hist(spark, folder))
+
+
+_CURVE = f"{SCORED}, h AS (SELECT model_name, round(abs(p - 0.5), 12) AS conf, count(*) AS n, sum(((p >= 0.5)::INT = y)::INT) AS hits FROM scored GROUP BY 1, 2), cv AS (SELECT model_name, conf, round(sum(n) OVER w / sum(n) OVER (PARTITION BY model_name)::DOUBLE, 9) AS coverage, round(sum(hits) OVER w / (sum(n) OVER w)::DOUBLE, 9) AS accuracy FROM h WINDOW w AS (PARTITION BY model_name ORDER BY conf DESC))"
+
+
+@register(f"WITH {_CURVE} SELECT * FROM cv")
+def coverage_curve(spark: SparkSession, folder: str) -> DataFrame:
+    return threshold.coverage_curve(_scored(spark, folder))
+
+
+@register(f"WITH {_CURVE} SELECT model_name, min(coverage) AS coverage, arg_min(accuracy, coverage) AS accuracy FROM cv WHERE coverage >= 0.8 GROUP BY model_name")
+def accuracy_at_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    return threshold.accuracy_at(threshold.coverage_curve(_scored(spark, folder)), 0.8)
+
+
+# --- calibration
+
+_LOGIT = "ln(greatest(1e-6, least(1 - 1e-6, {0})) / (1 - greatest(1e-6, least(1 - 1e-6, {0}))))"
+
+
+@register(f"WITH {SCORED} SELECT row_id, model_name, round(1 / (1 + exp(-({_LOGIT.format('p')}) / 1.5)), 6) AS p_temperature, round(1 / (1 + exp(-(0.8 * {_LOGIT.format('p')} + 0.1))), 6) AS p_platt FROM scored")
+def calibrate_apply(spark: SparkSession, folder: str) -> DataFrame:
+    p = F.col("p")
+    return _scored(spark, folder).select("row_id", "model_name", F.round(calibrate.apply(p, TEMPERATURE), 6).alias("p_temperature"), F.round(calibrate.apply(p, PLATT), 6).alias("p_platt"))
+
+
+def _one(spark: SparkSession, folder: str, part: str | None = None) -> DataFrame:
+    d = _scored(spark, folder).where("model_name = 'base-logprob'")
+    return d.where(F.col("split_name") == part) if part else d
+
+
+@register()
+def fit_temperature(spark: SparkSession, folder: str) -> DataFrame:
+    fit = calibrate.fit_temperature(written(metrics.histogram(_one(spark, folder))))
+    return spark.createDataFrame([(round(fit["T"], 6), round(fit["nll"], 6))], "T double, nll double")
+
+
+@register()
+def fit_platt(spark: SparkSession, folder: str) -> DataFrame:
+    fit = calibrate.fit_platt(written(metrics.histogram(_one(spark, folder))))
+    return spark.createDataFrame([(round(fit["A"], 6), round(fit["B"], 6), round(fit["nll"], 6))], "A double, B double, nll double")
+
+
+@register()
+def calibrated_evaluation(spark: SparkSession, folder: str) -> DataFrame:
+    bundle, fit = calibrate.calibrated_evaluation(_one(spark, folder, "val"), _one(spark, folder, "test"))
+    return bundle.withColumns({"method": F.lit(fit["method"]), "threshold": F.lit(fit["threshold"])})
+
+
+# --- resampling
+
+
+@register()
+def bootstrap_bundle(spark: SparkSession, folder: str) -> DataFrame:
+    return resample.bootstrap_bundle(_scored(spark, folder))
+
+
+@register()
+def paired_accuracy_diff(spark: SparkSession, folder: str) -> DataFrame:
+    return resample.paired_accuracy_diff(_pairs(spark, folder))
+
+
+# --- pooling and verdicts
+
+
+def _sources(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    s = scoring.latest_scores(table(spark, folder, "scored_predictions")).where("measured is distinct from false and prob is not null")
+    points = table(spark, folder, "statements").where("split_name in ('val', 'test')")
+    return points, s.where("model_name = 'base-logprob'"), table(spark, folder, "stored_scores").where("prob is not null")
+
+
+_VERDICT = (
+    "src AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row_id, model_name ORDER BY scored_at DESC NULLS LAST, prob DESC NULLS LAST, pred DESC NULLS LAST) AS k FROM scored_predictions) WHERE k = 1 AND measured IS DISTINCT FROM FALSE AND prob IS NOT NULL AND model_name = 'base-logprob'),"
+    " j AS (SELECT p.row_id, a.prob AS pa, b.prob AS pb FROM statements p LEFT JOIN src a ON p.row_id = a.row_id LEFT JOIN stored_scores b ON p.row_id = b.row_id WHERE p.split_name IN ('val', 'test')),"
+    f" v AS (SELECT row_id, pa, pb, CASE WHEN pa IS NOT NULL AND pb IS NOT NULL THEN 1 / (1 + exp(-(0.4 * {_LOGIT.format('pa')} + 0.6 * {_LOGIT.format('pb')}))) ELSE coalesce(pa, pb) END AS p FROM j),"
+    " verdicts AS (SELECT row_id, round(p, 6) AS probability, CASE WHEN pa IS NOT NULL AND pb IS NOT NULL THEN 'pooled' WHEN p IS NOT NULL THEN 'single' ELSE 'no_verdict' END AS status, p >= 0.5 AS verdict, (pa >= 0.5) = (pb >= 0.5) AS agree FROM v)"
+)
+
+
+@register(f"WITH {_VERDICT} SELECT * FROM verdicts")
+def pool_reconcile(spark: SparkSession, folder: str) -> DataFrame:
+    return pool.reconcile(*_sources(spark, folder), w=0.6)
+
+
+@register(f"WITH {_VERDICT} SELECT count(*) AS n, count(*) FILTER (status = 'pooled') AS pooled, count(*) FILTER (status = 'single') AS single, count(*) FILTER (status = 'no_verdict') AS no_verdict, bool_or(status <> 'pooled') AS degraded FROM verdicts")
+def verify_summary(spark: SparkSession, folder: str) -> DataFrame:
+    return pool.run_summary(pool.reconcile(*_sources(spark, folder), w=0.6))
+
+
+# --- stored scores and caches
+
+
+@register("SELECT s.row_id, t.prob, CASE WHEN t.row_id IS NULL OR t.prob IS NULL THEN 'absent' WHEN t.norm_key = s.norm_key THEN 'covered' ELSE 'mismatched' END AS status FROM statements s LEFT JOIN stored_scores t ON s.row_id = t.row_id WHERE s.split_name IN ('val', 'test')")
+def stored_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    return scoring.coverage(table(spark, folder, "statements").where("split_name in ('val', 'test')"), table(spark, folder, "stored_scores"))
+
+
+@register("SELECT t.row_id, s.norm_key FROM stored_scores t LEFT JOIN statements s ON t.row_id = s.row_id")
+def identity_map(spark: SparkSession, folder: str) -> DataFrame:
+    return scoring.identity_map(table(spark, folder, "stored_scores"), table(spark, folder, "statements"))
+
+
+@register("SELECT cache_key, row_id, call_kind, model_name, response_text, CASE WHEN try_cast(nullif(regexp_extract(response_text, '[0-9]+(?:\\.[0-9]+)?'), '') AS DOUBLE) IS NOT NULL THEN least(100.0, try_cast(nullif(regexp_extract(response_text, '[0-9]+(?:\\.[0-9]+)?'), '') AS DOUBLE)) END AS score FROM (SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY written_at DESC, response_text DESC) AS k FROM response_cache WHERE schema_no = 3 AND trim(response_text) <> '') WHERE k = 1")
+def cache_entries(spark: SparkSession, folder: str) -> DataFrame:
+    return scoring.cache_entries(table(spark, folder, "response_cache"), 3)
+
+
+@register("SELECT row_id, model_name, score, prob, pred, measured FROM (SELECT *, row_number() OVER (PARTITION BY row_id, model_name ORDER BY scored_at DESC NULLS LAST, prob DESC NULLS LAST, pred DESC NULLS LAST) AS k FROM scored_predictions) WHERE k = 1")
+def latest_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return scoring.latest_scores(table(spark, folder, "scored_predictions")).select("row_id", "model_name", "score", "prob", "pred", "measured")
+
+
+@register("SELECT feed, sum(ceil(length(statement) / 4.0))::BIGINT AS tokens, round(sum(ceil(length(statement) / 4.0)) * 0.15 / 1000000, 9) AS cost FROM statements GROUP BY feed")
+def cost_estimate(spark: SparkSession, folder: str) -> DataFrame:
+    g = table(spark, folder, "statements").groupBy("feed").agg(F.sum(scoring.estimated_tokens(F.col("statement"))).alias("tokens"))
+    return g.select("feed", "tokens", F.round(F.col("tokens") * 0.15 / 1000000, 9).alias("cost"))
+
+
+# --- attribution
+
+_FIELD = lambda f, gone: f"CASE WHEN {'TRUE' if f in gone else BLANK.format(f)} THEN 0.0 ELSE {WEIGHTS[f]} END"
+_PROB = lambda gone: "greatest(0.0, least(1.0, 0.3::DOUBLE + " + " + ".join(f"({_FIELD(f, gone)})::DOUBLE" for f in WEIGHTS) + "))"
+OCC = (
+    "scores AS (SELECT row_id, " + ", ".join(f"{_PROB(gone)} AS p_{tag}" for tag, gone in explain.variants()) + " FROM statements),"
+    " occ AS (" + " UNION ALL ".join(f"SELECT row_id, p_base AS base_prob, '{tag}' AS field, {i} AS pos, p_{tag} AS prob FROM scores" for i, (tag, _) in enumerate(explain.variants()) if i) + "),"
+    " occluded AS (SELECT row_id, base_prob, (base_prob >= 0.5)::INT AS pred, field, pos, prob, round(base_prob - prob, 3) AS delta, (base_prob >= 0.5) <> (prob >= 0.5) AS flip FROM occ)"
+)
+
+
+def _occlusion(spark: SparkSession, folder: str) -> DataFrame:
+    return explain.occlusion(table(spark, folder, "statements"), explain.presence_scorer(WEIGHTS))
+
+
+@register(f"WITH {OCC} SELECT row_id, pred, field, round(prob, 6) AS prob, delta, flip FROM occluded")
+def occlusion(spark: SparkSession, folder: str) -> DataFrame:
+    return _occlusion(spark, folder).select("row_id", "pred", "field", F.round("prob", 6).alias("prob"), "delta", "flip")
+
+
+@register(f"WITH {OCC} SELECT field, count(*) AS n, round(avg(flip::INT), 6) AS flip_rate, round(avg(abs(delta)), 6) AS mean_abs_delta FROM occluded GROUP BY field")
+def occlusion_summary(spark: SparkSession, folder: str) -> DataFrame:
+    return explain.summary(_occlusion(spark, folder))
+
+
+_DRIVER = f"{OCC}, top AS (SELECT row_id, abs(delta) AS size, field FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY abs(delta) DESC, pos) AS k FROM occluded WHERE field <> 'all') WHERE k = 1)"
+_AS_DRIVER = "CASE WHEN size = 0 THEN 'undetermined' WHEN size > {0} THEN field ELSE 'statement' END"
+
+
+@register(f"WITH {_DRIVER} SELECT {_AS_DRIVER.format(0.05)} AS driver, count(*) AS n FROM top GROUP BY 1")
+def driver_distribution(spark: SparkSession, folder: str) -> DataFrame:
+    return explain.drivers(_occlusion(spark, folder)).groupBy("driver").agg(F.count("*").alias("n"))
+
+
+EPS = [0.0, 0.02, 0.05, 0.07, 0.1, 0.15, 0.2]
+
+
+@register(f"WITH {_DRIVER} SELECT e.eps, CASE WHEN size = 0 THEN 'undetermined' WHEN size > e.eps THEN field ELSE 'statement' END AS driver, count(*) AS n FROM top, (SELECT unnest({EPS})::DOUBLE AS eps) e GROUP BY ALL")
+def eps_sweep(spark: SparkSession, folder: str) -> DataFrame:
+    single = _occlusion(spark, folder).where("field <> 'all'")
+    top = single.groupBy("row_id").agg(F.max(F.struct(F.abs("delta").alias("size"), (-F.col("pos")).alias("neg_pos"), "field")).alias("t"))
+    swept = top.withColumn("eps", F.explode(F.array(*[F.lit(e) for e in EPS])))
+    driver = F.when(F.col("t.size") == 0, "undetermined").when(F.col("t.size") > F.col("eps"), F.col("t.field")).otherwise("statement")
+    return swept.groupBy("eps", driver.alias("driver")).agg(F.count("*").alias("n"))
+
+
+@register(f"WITH {_DRIVER}, y AS (SELECT row_id, {_sql_binarize('primary')} AS y FROM statements), d AS (SELECT {_AS_DRIVER.format(0.05)} AS driver, y.y, (s.p_base >= 0.5)::INT AS pred FROM top JOIN y ON top.row_id = y.row_id AND y.y IS NOT NULL JOIN scores s ON s.row_id = top.row_id) SELECT driver, count(*) AS n, round(avg((pred = y)::INT), 6) AS accuracy, round(greatest(avg(y), 1 - avg(y)), 6) AS majority FROM d GROUP BY driver")
+def driver_vs_baseline(spark: SparkSession, folder: str) -> DataFrame:
+    occluded = _occlusion(spark, folder)
+    y = table(spark, folder, "statements").select("row_id", quality.binarize(F.col("label")).alias("y")).where("y is not null")
+    pred = occluded.where("field = 'all'").select("row_id", "pred")
+    g = explain.drivers(occluded).join(pred, "row_id").join(y, "row_id").groupBy("driver")
+    return g.agg(F.count("*").alias("n"), F.round(F.avg((F.col("pred") == F.col("y")).cast("int")), 6).alias("accuracy"), F.round(F.greatest(F.avg("y"), 1 - F.avg("y")), 6).alias("majority"))
+
+
+def _refs(spark: SparkSession, folder: str) -> DataFrame:
+    texts = scoring.cache_entries(table(spark, folder, "response_cache").where("call_kind = 'rationale'"), 3).select("row_id", "response_text")
+    d = texts.join(table(spark, folder, "statements"), "row_id").join(explain.drivers(_occlusion(spark, folder)), "row_id")
+    return d.select("row_id", "driver", explain.rationale_refs(F.col("response_text"), F.col("speaker_name"), F.col("speaker_affiliation"), F.col("subjects")).alias("refs"))
+
+
+@register()
+def rationale_agreement(spark: SparkSession, folder: str) -> DataFrame:
+    d = _refs(spark, folder).where("driver <> 'undetermined'")
+    return d.select("row_id", "driver", F.array_contains("refs", F.col("driver")).alias("agree")).groupBy("driver").agg(F.count("*").alias("n"), F.round(F.avg(F.col("agree").cast("int")), 6).alias("agreement"))
+
+
+@register()
+def agreement_permutation(spark: SparkSession, folder: str) -> DataFrame:
+    d = _refs(spark, folder).where("driver <> 'undetermined'").select("row_id", "driver", F.col("refs")[0].alias("ref"))
+    return resample.permutation_test(d, "row_id", "driver", "ref")
+
+
+# --- retrieval: queries are the rows whose id is divisible by 20, against all other rows
+
+_TERMS = f"list_filter(string_split(translate(trim(lower(regexp_replace(statement, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))), '{retrieve.ACCENTED}', '{retrieve.PLAIN}'), ' '), lambda w: length(w) > 1)"
+
+
+@register(
+    f"WITH t AS MATERIALIZED (SELECT row_id, {_TERMS} AS w FROM statements), tf AS (SELECT row_id, term, count(*) AS tf FROM (SELECT row_id, unnest(w) AS term FROM t UNION ALL SELECT row_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM t) GROUP BY ALL),"
+    " idf AS (SELECT term, ln((1.0 + (SELECT count(*) FROM statements)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY term), x AS (SELECT row_id, term, (1 + ln(tf)) * idf AS x FROM tf JOIN idf USING (term)),"
+    " sz AS (SELECT row_id, sqrt(sum(x * x)) AS size FROM x GROUP BY row_id), p AS MATERIALIZED (SELECT row_id, term, x / size AS w FROM x JOIN sz USING (row_id)),"
+    " s AS (SELECT q.row_id AS query_id, p.row_id, round(sum(q.w * p.w), 6) AS score FROM p q JOIN p ON q.term = p.term AND q.row_id % 20 = 0 AND q.row_id <> p.row_id GROUP BY ALL)"
+    " SELECT query_id, row_id, score, rank FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id))::INT AS rank FROM s) WHERE rank <= 5"
+)
+def tfidf_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    d = table(spark, folder, "statements").select("row_id", "statement")
+    return retrieve.top_k(d.where("row_id % 20 = 0"), d, "statement")
+
+
+# --- splits
+
+
+@register()
+def components(spark: SparkSession, folder: str) -> DataFrame:
+    return split.components(table(spark, folder, "statements"))
+
+
+@register()
+def three_way_split(spark: SparkSession, folder: str) -> DataFrame:
+    return split.three_way(quality.clean_dataset(_lab(spark, folder)), 0.2, 0.2)
+
+
+def _leak(column: str) -> str:
+    has = lambda s: f"max((split_name = '{s}')::INT)"
+    return f"WITH g AS (SELECT {column}, {has('train')} AS a, {has('val')} AS b, {has('test')} AS c FROM statements WHERE split_name IN ('train', 'val', 'test') AND NOT ({BLANK.format(column)}) GROUP BY 1) SELECT sum(a * b)::BIGINT AS train_val, sum(a * c)::BIGINT AS train_test, sum(b * c)::BIGINT AS val_test FROM g"
+
+
+@register(_leak("speaker_name"))
+def speakers_cross(spark: SparkSession, folder: str) -> DataFrame:
+    return split.leakage(table(spark, folder, "statements"), "split_name", "speaker_name")
+
+
+@register(_leak("norm_key"))
+def keys_cross(spark: SparkSession, folder: str) -> DataFrame:
+    return split.leakage(table(spark, folder, "statements"), "split_name", "norm_key")
