@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 #: which is why they may be collected.
 KNOWN_PART = 0.0005
 #: Costs of entering a garbled state, of staying in it, and of leaving it.
-ENTER, STAY, LEAVE = 5.0, 0.5, 0.5
+ENTER, STAY, LEAVE = 5.0, 1.5, 0.5
 
 # Pairs of encodings (what the bytes were, what they were read as, how many times over).
 PAIRS = [
@@ -184,7 +184,7 @@ class Model:
                         cost[j][state] = t
                         back[j][state] = (i, prev, text)
 
-            relax(i + 1, clean, self.clean_cost(c, s[:i], s[i + 1 :]), c)
+            relax(i + 1, clean, self.clean_cost(c, s[max(0, i - 40) : i], s[i + 1 : i + 41]), c)
             if c.isascii():
                 continue
             if c == "�":
@@ -195,7 +195,7 @@ class Model:
                 for size in self.sizes[k]:
                     hit = table.get(s[i : i + size]) if i + size <= n else None
                     if hit:
-                        relax(i + size, k, self.clean_cost(hit[0], s[:i], s[i + size :]) + hit[1], hit[0])
+                        relax(i + size, k, self.clean_cost(hit[0], s[max(0, i - 40) : i], s[i + size : i + size + 40]) + hit[1], hit[0])
         path, j, state = [], n, min(range(states), key=lambda x: cost[n][x])
         while j > 0:
             i, prev, text = back[j][state]
