@@ -223,7 +223,7 @@ def map_fields(df: DataFrame, key: str, fields: list[str], canon: DataFrame, **h
         rows = rows.join(canon.select("field_name", F.col("canon_name").alias("value")).distinct(), ["field_name", "value"], "left_anti")
     rows = rows.withColumn("entry", F.concat_ws("\x1f", "field_name", "value"))
     counts = written(rows.groupBy("field_name", "value", "entry").agg(F.count("*").alias("n")))
-    matched = match_values(counts.select("field_name", "value").repartition(F.col("value")), canon, **how)
+    matched = match_values(counts.select("field_name", "value").repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "value"), canon, **how)
     table = written(counts.select("entry", "n", "field_name", "value").join(matched.select("field_name", "value", "canon_id"), ["field_name", "value"]).select("entry", "n", "canon_id"))
     total = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     return salted_join(rows.select(key, "field_name", "entry"), table, "entry", "n", total, key, "inner").select(key, "field_name", "canon_id")
