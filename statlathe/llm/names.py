@@ -135,6 +135,19 @@ def _grams(token: str) -> set[str]:
     return {s[i : i + GRAM] for i in range(len(s) - GRAM + 1)}
 
 
+def slip_keys(token: str) -> set[str]:
+    """Tokens that ``token_similarity`` takes for slips of each other share one of these: what is left of a token without
+    one of its letters (two where it is long). Of very long tokens, the first or last letters, or some between two slips."""
+    n, out = len(token), set()
+    if n > 3 and n <= 26:
+        out = {token} | {token[:i] + token[i + 1 :] for i in range(n)}
+        if n > 6:
+            out |= {w[:i] + w[i + 1 :] for w in list(out - {token}) for i in range(n - 1)}
+    if n > 22:
+        out |= {"^" + token[:7], "$" + token[-7:], "-" + token[8:14], "-" + token[9:15]}
+    return out
+
+
 def _band_keys(n_bands: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
@@ -151,22 +164,24 @@ def _band_keys(n_bands: int):
                 mixed = (h[:, None] ^ salt) * odd  # wraps around, as wanted
                 mixed = (mixed ^ (mixed >> np.uint64(29))) * odd
                 least = (mixed ^ (mixed >> np.uint64(32))).min(axis=0).reshape(n_bands, BAND_ROWS)
-                token.extend([t] * n_bands)
+                slips = slip_keys(t)
+                token.extend([t] * (n_bands + len(slips)))
                 key.extend(xxhash.xxh64_intdigest(row.tobytes(), i) - (1 << 63) for i, row in enumerate(least))
+                key.extend(xxhash.xxh64_intdigest(w, n_bands) - (1 << 63) for w in slips)
             yield pd.DataFrame({"token": token, "key": key}).astype({"key": "int64"})
 
     return run
 
 
 def similar_tokens(tokens: DataFrame) -> DataFrame:
-    """``(token, other)``: pairs of different ``tokens`` (distinct) that share a band and differ by at most two slips (one
-    when short). A bucket's least token is paired with the others first; the tokens of a bucket larger than ``MANY`` are
-    in it by shared q-grams, and meet those they resemble in their other bands."""
+    """``(token, other)``: pairs of different ``tokens`` (distinct) that share a band or a slip key and differ by at most
+    two slips (one when short). Bands alone miss many slips of short tokens (smith and simth share 0.27 of their q-grams);
+    slip keys find them all."""
     keys = tokens.mapInPandas(_band_keys(bands()), "token string, key long")
     pairs = keys.join(keys.select(F.col("token").alias("other"), "key"), "key").where("token < other").select("token", "other").distinct()
     size = F.least(F.length("token"), F.length("other"))
     # swaps of neighbours are one slip here and two to levenshtein
-    return pairs.where(F.levenshtein("token", "other") <= F.when(size > 6, 3).otherwise(2))
+    return pairs.where(F.levenshtein("token", "other") <= F.when(size > 6, 4).otherwise(2))
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

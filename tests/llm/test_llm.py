@@ -104,6 +104,24 @@ def test_names(spark):
     assert 1 - (1 - names.AT**names.BAND_ROWS) ** names.bands() >= names.RECALL
 
 
+def test_similar_tokens_finds_every_slip(spark):
+    rng = random.Random(4)
+    words = ["smith", "jones", "davis", "clark", "hale", "reed", "walker", "nguyen", "thompson", "abcdefghijklmnopqrstuvwx", "abcdefghijklmnopqrstuvwxyzabcd"]
+    made = set(words)
+    for w in words:
+        for _ in range(40):
+            t = list(w)
+            for _ in range(1 + (len(w) > 6 and rng.random() < 0.7)):
+                i = rng.randrange(len(t) - 1)
+                t[i : i + 2] = rng.choice([[t[i + 1], t[i]], [t[i]], [t[i], "e", t[i + 1]], [t[i], "o"], ["x", t[i + 1]]])
+            made.add("".join(t))
+    made = sorted(made)
+    # (short for each other is found by bands, without a promise)
+    slips = {(a, b) for i, a in enumerate(made) for b in made[i + 1 :] if names.token_similarity(a, b) in (0.94, 0.88)}
+    got = {tuple(r) for r in names.similar_tokens(spark.createDataFrame([(t,) for t in made], "token string")).collect()}
+    assert len(slips) > 500 and slips <= got
+
+
 def test_canon(spark):
     entries = [("f", 1, "Trade association"), ("f", 2, "Old Charter Society"), ("f", 3, "a radio ad"), ("f", 4, "a radio interview")]
     c = spark.createDataFrame(entries, "field_name string, canon_id int, canon_name string")
