@@ -1,8 +1,8 @@
 """Variant spellings of names typed by people (problem 3).
 
-Names are read as tokens. Tokens that are not common to many names are compared by MinHash bands over padded q-grams, with
-as many bands as the collision curve asks for; names that share an equal or similar token are candidates, verified by a
-Monge-Elkan similarity whose token measure knows typos, initials, short forms and nicknames; star clustering then gives
+Names are read as tokens. Tokens are compared by MinHash bands over padded q-grams, with as many bands as the collision
+curve asks for; names that share an equal or similar token are candidates (where the token is common to many names, those
+of them whose other tokens can match as well), verified by a Monge-Elkan similarity whose token measure knows typos, initials, short forms and nicknames; star clustering then gives
 every spelling to one fullest, most used spelling.
 """
 
@@ -24,7 +24,7 @@ GRAM = 3
 #: Rows of a band, the Jaccard similarity of q-grams at which a token pair must be found, and how surely.
 BAND_ROWS, AT, RECALL = 3, 0.42, 0.97
 #: A token in more than this part of the distinct names, and in more than MANY of them, is common: two names that share
-#: nothing else can't be verified as the same, so it makes no candidates (names of common tokens only are keyed whole).
+#: nothing else can't be verified as the same, so it makes candidates only where another token can match too.
 COMMON_PART, MANY = 0.001, 50
 #: The least Monge-Elkan similarity of two spellings of one name.
 SAME = 0.8
@@ -184,6 +184,49 @@ def similar_tokens(tokens: DataFrame) -> DataFrame:
     return pairs.where(F.levenshtein("token", "other") <= F.when(size > 6, 4).otherwise(2))
 
 
+def _combined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each token of a name with each of its others (``by``; ``canon`` its full name). ``role``: f where the token is the
+    last one, as family names are, g where the other is, else o; ``person``: at most one more full token."""
+    for b in batches:
+        out = []
+        for name, tokens, mark in zip(b["name"], b["tokens"], b["mark"], strict=True):
+            t, n = list(tokens), len(tokens)
+            person = n <= 3 and sum(len(w) > 1 for w in t) <= 2
+            for i, x in enumerate(t):
+                for j, w in enumerate(t):
+                    if i != j:
+                        out.append((name, x, w, NICKNAMES.get(w, w), mark, n, person, "f" if i == n - 1 else "g" if j == n - 1 else "o"))
+            if n == 1:
+                out.append((name, t[0], "", "", mark, n, person, "f"))
+        yield pd.DataFrame(out, columns=["name", "token", "by", "canon", "mark", "size", "person", "role"]).astype({"size": "int32", "person": "bool"})
+
+
+def _tied(names: DataFrame, often: DataFrame, near: DataFrame) -> DataFrame:
+    """``(a, key_a, b, key_b)``: names that share a common token, or hold similar ones of which one at least is common, and
+    another token equal, of one full name, or similar, or (one of them at most five letters) an initial or a short form.
+    Of two people, initials and short forms stand for given names only."""
+    turned = near.select(F.col("other").alias("token"), F.col("token").alias("other"))
+    near = near.union(turned)
+    common = often.where("not rare").select("token")
+    mixed = near.join(common, "token", "left_semi").union(near.join(common.withColumnRenamed("token", "other"), "other", "left_semi").select("token", "other")).distinct()
+    linked = written(mixed.union(common.select("token", F.col("token").alias("other"))))
+    rows = written(names.select("name", "tokens", "mark").mapInPandas(_combined, "name string, token string, by string, canon string, mark string, size int, person boolean, role string").join(linked.select("token").distinct(), "token"))
+    letters = F.array_distinct(F.transform(F.array("by", "canon"), lambda w: F.concat(F.lit("1"), F.substring(w, 1, 1))))
+    whole = F.concat(F.lit("="), F.col("canon")).alias("trait")
+    first = rows.where("by != ''").withColumn("trait", F.explode(letters))
+    similar = rows.join(near.select(F.col("token").alias("canon"), F.col("other").alias("v")), "canon").select(*rows.columns, F.concat(F.lit("="), F.col("v")).alias("trait"))
+    left = rows.select("*", whole).union(similar).union(first.where(F.length("by") <= 5))
+    left = left.join(linked, "token").withColumnsRenamed({"name": "a", "token": "key_a", "by": "by_a", "size": "size_a", "person": "person_a", "role": "role_a"}).drop("canon")
+    right = rows.select("*", whole).union(first).withColumnsRenamed({"name": "b", "token": "other", "by": "by_b", "size": "size_b", "person": "person_b", "role": "role_b"}).drop("canon")
+    equal = F.col("trait").startswith("=")
+    within = (F.length("by_a") >= 3) & F.regexp_like("by_b", F.concat(F.lit("^"), F.regexp_replace("by_a", "(.)", "$1.*")))
+    short = (F.length("by_a") == 1) | (F.length("by_b") == 1) | F.col("by_b").startswith(F.col("by_a")) | F.col("by_a").startswith(F.col("by_b")) | within
+    people = F.col("person_a") & F.col("person_b")
+    of_people = F.when(equal, F.col("role_a").isin("f", "g") & F.col("role_b").isin("f", "g")).otherwise((F.col("role_a") == "f") & (F.col("role_b") == "f"))
+    both = left.join(right, ["other", "trait", "mark"]).where("a != b").where(equal | short).where(F.when(people, of_people & ((F.col("size_a") > 1) == (F.col("size_b") > 1))).otherwise(F.col("size_a") == F.col("size_b")))
+    return both.select("a", "key_a", "b", F.col("other").alias("key_b"))
+
+
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         out = [read_name(n) for n in b["name"]]
@@ -212,15 +255,15 @@ def linked_names(df: DataFrame, name: str, job: str) -> tuple[DataFrame, DataFra
     total = names.count()
     often = held.groupBy("token").agg(F.count("*").alias("k"))
     often = often.withColumn("rare", (F.length("token") > 2) & (F.col("k") <= max(MANY, COMMON_PART * total)))
-    rare = written(held.join(often.where("rare").select("token"), "token"))
-    whole = names.join(rare.select("name"), "name", "left_anti").select("name", F.concat_ws(" ", F.array_sort("tokens")).alias("token"))
-    keyed = written(rare.select("name", "token").union(whole))
-    near = written(similar_tokens(keyed.select("token").distinct()))
+    often = written(often)
+    keyed = written(held.join(often.where("rare").select("token"), "token"))
+    near = written(similar_tokens(often.where(F.length("token") > 2).select("token")))
     other = keyed.select(F.col("name").alias("b"), F.col("token").alias("key_b"))
     mine = keyed.select(F.col("name").alias("a"), F.col("token").alias("key_a"))
     equal = mine.join(other, F.col("key_a") == F.col("key_b"))
     close = near.join(mine, near.token == mine.key_a).join(other, F.col("other") == F.col("key_b")).select("a", "key_a", "b", "key_b")
-    both = equal.union(close.select("a", "key_a", "b", "key_b")).where("a != b")
+    tied = _tied(names, often, near)
+    both = equal.union(close.select("a", "key_a", "b", "key_b")).union(tied).where("a != b")
     turned = F.col("a") > F.col("b")
     pick = lambda x, y, z: F.when(turned, F.col(y)).otherwise(F.col(x)).alias(z)
     cands = both.select(pick("a", "b", "a"), pick("b", "a", "b"), pick("key_a", "key_b", "key_a"), pick("key_b", "key_a", "key_b")).distinct()

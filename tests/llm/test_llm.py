@@ -122,6 +122,22 @@ def test_similar_tokens_finds_every_slip(spark):
     assert len(slips) > 500 and slips <= got
 
 
+def test_names_of_common_tokens(spark):
+    given = "john mary peter alice henry laura oscar nancy walter irene victor sophie".split()
+    last = "smith jones taylor brown walker".split()
+    common = [f"{g.title()} {x.title()}" for g in given for x in last]
+    # with one name in 60 of each token, a bound of 3 makes every token common
+    names_, same = [*common, "Smith, John", "JOHN SMITH", "Smiht, John", "Jhon Smith", "Li, Bo", "Bo Li", "Bo Lu"], ["John Smith", "Smith, John", "JOHN SMITH", "Smiht, John", "Jhon Smith"]
+    d = spark.createDataFrame([(n, None) for n in names_], "speaker_name string, speaker_job string")
+    many, names.MANY = names.MANY, 3
+    try:
+        got = {r.name: r.centre for r in names.cluster_names(d, "speaker_name", "speaker_job").collect()}
+    finally:
+        names.MANY = many
+    assert len({got[n] for n in same}) == 1 and got["Li, Bo"] == got["Bo Li"] != got["Bo Lu"]
+    assert sum(got[n] == got["John Smith"] for n in names_) == len(same) and len({got[n] for n in common}) == len(common)
+
+
 def test_canon(spark):
     entries = [("f", 1, "Trade association"), ("f", 2, "Old Charter Society"), ("f", 3, "a radio ad"), ("f", 4, "a radio interview")]
     c = spark.createDataFrame(entries, "field_name string, canon_id int, canon_name string")
