@@ -109,8 +109,8 @@ class _Items:
                 self.runs[tuple(w[i : i + b])].append((k, i))
 
     def hits(self, codes: dict[str, int], starts, positions, ids) -> dict[int, object]:
-        """For each item (by its number here), places in the segment where it would begin, by the runs of it that were
-        found and that ``worth`` keeps. ``ids``: the term at each place."""
+        """For each item (by its number here), rows of the place in the segment where it would begin and the place of the
+        run of it that was found and that ``worth`` keeps. ``ids``: the term at each place."""
         import numpy as np
 
         out: dict[int, list] = defaultdict(list)
@@ -139,8 +139,9 @@ class _Items:
                     if len(kept):
                         kept = in_order([codes.get(w, -2) for w in self.items[k][1]], len(run), ids, kept)
                     if len(kept):
-                        out[k].append(kept.astype(np.int64) - i)
-        return {k: np.unique(np.concatenate(v)) for k, v in out.items()}
+                        places = kept.astype(np.int64)
+                        out[k].append(np.stack([places - i, places], axis=1))
+        return {k: np.unique(np.concatenate(v), axis=0) for k, v in out.items()}
 
 
 def worth(n: int, run: int, own, ids, at):
@@ -258,24 +259,28 @@ def _search(items: list[tuple[int, str]]):
                 doc_id, doc_start = np.frombuffer(s.doc_id, np.int64), np.frombuffer(s.doc_start, np.int32)
                 ids = np.full((int(positions.max()) + 2 if len(positions) else 1), -1, dtype=np.int32)
                 ids[positions] = np.repeat(np.arange(len(s.terms), dtype=np.int32), np.diff(starts))
-                for k, shifts in known.hits(codes, starts, positions, ids).items():
+                for k, found in known.hits(codes, starts, positions, ids).items():
                     item_id, w = known.items[k]
                     coded = [codes.get(x, -2) for x in w]
                     best: dict[int, tuple[int, int, int]] = {}
-                    half = len(w) // 2
-                    docs = np.searchsorted(doc_start, np.clip(shifts + half, 0, None), side="right") - 1
-                    for shift, d in zip(shifts.tolist(), docs.tolist(), strict=True):
-                        for e in {d, max(0, d - 1), min(len(doc_start) - 1, d + 1)} if len(doc_start) > 1 else {d}:
-                            begin = int(doc_start[e])
-                            end = int(doc_start[e + 1]) - 1 if e + 1 < len(doc_start) else len(ids)
-                            lo, hi = max(begin, shift - 20), min(end, shift + len(w) + 20)
-                            if hi - lo < len(w) * COVER * 0.9:
-                                continue
-                            if e in best and best[e][1] <= shift + half - begin <= best[e][2]:
-                                continue
-                            got = passage(coded, ids[lo:hi].tolist(), shift - lo)
-                            if got and (e not in best or got[0] > best[e][0]):
-                                best[e] = (got[0], got[1] + lo - begin, got[2] + lo - begin)
+                    tried = set()
+                    # documents without words begin where the next one does, or hold the empty place before it; a run's
+                    # place is a word's, so the last document that begins there or before is the one that holds it
+                    docs = np.searchsorted(doc_start, found[:, 1], side="right") - 1
+                    for (shift, place), e in zip(found.tolist(), docs.tolist(), strict=True):
+                        if (shift, e) in tried:
+                            continue
+                        tried.add((shift, e))
+                        begin = int(doc_start[e])
+                        end = int(doc_start[e + 1]) - 1 if e + 1 < len(doc_start) else len(ids)
+                        lo, hi = max(begin, shift - 20), min(end, shift + len(w) + 20)
+                        if hi - lo < len(w) * COVER * 0.9:
+                            continue
+                        if e in best and best[e][1] <= place - begin <= best[e][2]:
+                            continue
+                        got = passage(coded, ids[lo:hi].tolist(), shift - lo)
+                        if got and (e not in best or got[0] > best[e][0]):
+                            best[e] = (got[0], got[1] + lo - begin, got[2] + lo - begin)
                     out.extend((int(doc_id[e]), item_id, v[0] / len(w), v[1], v[2]) for e, v in best.items())
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "covered", "first_word", "last_word"]).astype({"doc_id": "int64", "item_id": "int64", "covered": "float64", "first_word": "int32", "last_word": "int32"})
 

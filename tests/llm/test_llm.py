@@ -168,6 +168,14 @@ def test_leaks(spark):
     assert leaks.search(index, e.limit(0), "item_id", "text").count() == 0
 
 
+def test_leaks_beside_short_documents(spark):
+    item = [f"w{i}" for i in range(90)]
+    docs = [" ".join(["x"] * 5 + item[:30]), "a b c d e f", "", None, "g h i j k l", "m n", "", " ".join(item[60:] + ["y"] * 5)]
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").coalesce(1)
+    e = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert sorted(r.doc_id for r in leaks.search(leaks.build_index(d, "doc_id", "text"), e, "item_id", "text").collect()) == [0, 7]
+
+
 def test_lookalike(spark):
     rows = [(1, "Café one", "x"), (2, "Café one", "x"), (3, "Ｃａｆé\xa0one", "x"), (4, "Сafé o​ne", "x"), (5, "Cafe one", "x"), (6, "Café one", "x"), (7, None, "x"), (8, "", "x"), (9, "cafÉ one", "x")]
     d = spark.createDataFrame(rows, "doc_id long, text string, look string")
