@@ -45,22 +45,28 @@ def paired_accuracy_diff(pairs: DataFrame, n_draws: int = 200, seed: int = 0) ->
     return pairs.agg(F.avg(gap).alias("point")).crossJoin(_interval(g, [], ["diff"]))
 
 
-def permutation_test(df: DataFrame, row: str, a: str, b: str, n_draws: int = 100, seed: int = 0) -> DataFrame:
-    """How often shuffled ``b`` agrees with ``a`` at least as much as observed. Shuffling keeps both margins, so each draw
-    needs the counts of values only: agreement is drawn by giving every row a hashed partner value from b's distribution."""
-    total = df.count()
-    dist = df.groupBy(b).agg(F.count("*").alias("n"))
-    # values of b are categories of a fixed, small set (fields); their shares make the lookup of a uniform number
-    rows = [(r[b], r.n) for r in dist.orderBy(b).limit(1_000).collect()]
-    upper, table = 0, []
-    for v, n in rows:
-        upper += n
-        table.append((v, upper / max(total, 1)))
-    u = F.pmod(F.xxhash64(F.col(row), F.col("draw"), F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    pick = F.lit(table[-1][0]) if table else F.lit(None).cast("string")
-    for v, x in reversed(table[:-1]):
-        pick = F.when(u < x, v).otherwise(pick)
-    obs = df.agg(F.avg((F.col(a) == F.col(b)).cast("int"))).first()[0]
-    d = df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
-    per = d.groupBy("draw").agg(F.avg((F.col(a) == pick).cast("int")).alias("agree"))
-    return per.agg(F.lit(obs).alias("observed"), F.avg("agree").alias("null_mean"), ((F.count_if(F.col("agree") >= F.lit(obs)) + 1) / F.lit(n_draws + 1)).alias("p_value"))
+def permutation_test(df: DataFrame, a: str, b: str, n_draws: int = 2000, seed: int = 0) -> DataFrame:
+    """How often shuffled ``b`` (sets of values) hold ``a`` at least as much as observed. Rows count by their ``a`` and by
+    which values of ``a`` their set holds, so a shuffle is the table it makes of the two: drawn without replacement, both
+    margins kept."""
+    import numpy as np
+
+    kinds = sorted(r[0] for r in df.where(F.col(a).isNotNull()).select(a).distinct().collect())  # fields: a fixed, small set
+    held = F.array(*[F.coalesce(F.array_contains(b, k), F.lit(False)) for k in kinds]) if kinds else F.array().cast("array<boolean>")
+    rows = [(r.a, tuple(r.held), r.n) for r in df.groupBy(F.col(a).alias("a"), held.alias("held")).agg(F.count("*").alias("n")).collect()]
+    total = sum(n for _, _, n in rows)
+    schema = "observed double, null_mean double, p_value double"
+    if not total:
+        return df.sparkSession.createDataFrame([(None, None, None)], schema)
+    sets = sorted({h for _, h, _ in rows})
+    size = [sum(n for _, h, n in rows if h == s) for s in sets]
+    seen = sum(n for x, h, n in rows if x is not None and h[kinds.index(x)])
+    rng = np.random.default_rng(seed)
+    got = np.zeros(n_draws, dtype=np.int64)
+    for d in range(n_draws):
+        left = np.array(size, dtype=np.int64)
+        for i, k in enumerate(kinds):
+            taken = rng.multivariate_hypergeometric(left, sum(n for x, _, n in rows if x == k), method="marginals")
+            got[d] += sum(int(t) for t, s in zip(taken, sets, strict=True) if s[i])
+            left -= taken
+    return df.sparkSession.createDataFrame([(seen / total, float(got.mean()) / total, (int((got >= seen).sum()) + 1) / (n_draws + 1))], schema)

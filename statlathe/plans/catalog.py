@@ -539,8 +539,8 @@ def rationale_agreement(spark: SparkSession, folder: str) -> DataFrame:
 
 @register()
 def agreement_permutation(spark: SparkSession, folder: str) -> DataFrame:
-    d = _refs(spark, folder).where("driver <> 'undetermined'").select("row_id", "driver", F.col("refs")[0].alias("ref"))
-    return resample.permutation_test(d, "row_id", "driver", "ref")
+    d = _refs(spark, folder).where("driver <> 'undetermined'").select("driver", "refs")
+    return resample.permutation_test(d, "driver", "refs")
 
 
 # --- retrieval: queries are the rows whose id is divisible by 20, against all other rows

@@ -125,6 +125,13 @@ def test_bootstrap_covers_point(spark):
     assert ci["accuracy"][0] < acc < ci["accuracy"][1]
 
 
+def test_permutation_takes_the_whole_set(spark):
+    rows = [("a", ["b", "a"])] * 20 + [("b", ["b"])] * 20 + [("a", ["b"])] * 10
+    r = resample.permutation_test(spark.createDataFrame(rows, "driver string, refs array<string>"), "driver", "refs").first()
+    # of 30 rows with driver a, 12 hold it on average; b is in every set
+    assert r.observed == 0.8 and r.null_mean == pytest.approx((12 + 20) / 50, abs=0.01) and r.p_value == pytest.approx(1 / 2001)
+
+
 def test_stored_scores(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "row_id long, norm_key string")
     stored = spark.createDataFrame([(1, 0.4, "a"), (2, 0.5, "other")], "row_id long, prob double, norm_key string")
