@@ -64,7 +64,7 @@ def rows_by_id(df: DataFrame, ids: list[int]) -> DataFrame:
     return df.join(F.broadcast(asked), "row_id").orderBy("pos")
 
 
-def metrics(df: DataFrame, n_draws: int = 200, seed: int = 0) -> dict[str, DataFrame]:
+def metrics(df: DataFrame, n_draws: int = 1000, seed: int = 0) -> dict[str, DataFrame]:
     """Bundle, intervals and majority baseline of ``(row_id, model_name, y, p, pred)``; labels other than 0 and 1 are an
     error."""
     if not df.where("y is null or y not in (0, 1)").isEmpty():

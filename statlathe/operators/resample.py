@@ -1,23 +1,16 @@
-"""Bootstrap and permutation tests. Draws are Poisson weights hashed from (row, draw, seed): each draw is a weighted sum
-over all rows, so all draws are made in one pass and no sample is materialised. The draws differ from sequential ones."""
+"""Bootstrap and permutation tests. Draws are Poisson weights of all rows, summed over equal rows, so all draws are made in
+one pass and no sample is materialised. The draws differ from sequential ones."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-# The cumulative Poisson(1) probabilities of 0 to 6.
-POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
-
-
-def weight(row: Column, draw: Column, seed: int) -> Column:
-    u = F.pmod(F.xxhash64(row, draw, F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    return sum((F.when(u >= c, 1).otherwise(0) for c in POISSON), F.lit(0))
+from collections.abc import Iterator
 
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-def draws(df: DataFrame, row: str, n_draws: int, seed: int) -> DataFrame:
-    return df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1)))).withColumn("w", weight(F.col(row), F.col("draw"), seed)).where("w > 0")
-
+from statlathe.operators import metrics
+from statlathe.plans.shared import written
 
 def _interval(per_draw: DataFrame, by: list[str], values: list[str]) -> DataFrame:
     long = per_draw.select(*by, F.explode(F.array(*[F.struct(F.lit(v).alias("metric"), F.col(v).cast("double").alias("x")) for v in values])).alias("s"))
@@ -26,23 +19,54 @@ def _interval(per_draw: DataFrame, by: list[str], values: list[str]) -> DataFram
     return kept.groupBy(*by, "s.metric").agg(q.alias("q"), F.count("*").alias("n_kept")).select(*by, "metric", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"), "n_kept")
 
 
-def bootstrap_bundle(df: DataFrame, n_draws: int = 200, seed: int = 0, by: str = "model_name") -> DataFrame:
-    """Intervals of accuracy, balanced accuracy, macro F1 and Brier from one shared set of draws."""
-    d = draws(df.select("row_id", by, "y", "p", "pred"), "row_id", n_draws, seed)
-    hit = lambda y, q: F.sum(F.when((F.col("y") == y) & (F.col("pred") == q), F.col("w")).otherwise(0))
-    g = d.groupBy(by, "draw").agg(hit(1, 1).alias("tp"), hit(0, 0).alias("tn"), hit(0, 1).alias("fp"), hit(1, 0).alias("fn"), (F.sum(F.col("w") * (F.col("p") - F.col("y")) ** 2) / F.sum("w")).alias("brier"))
-    tp, tn, fp, fn = (F.col(x) for x in ("tp", "tn", "fp", "fn"))
-    div = lambda a, b: F.try_divide(a.cast("double"), b)
-    g = g.withColumns({"accuracy": div(tp + tn, tp + tn + fp + fn), "balanced_accuracy": (div(tp, tp + fn) + div(tn, tn + fp)) / 2, "macro_f1": (F.coalesce(div(2 * tp, 2 * tp + fp + fn), F.lit(0.0)) + F.coalesce(div(2 * tn, 2 * tn + fp + fn), F.lit(0.0))) / 2})
-    return _interval(g, [by], ["accuracy", "balanced_accuracy", "macro_f1", "brier"])
+METRICS = ["accuracy", "balanced_accuracy", "macro_f1", "precision_true", "recall_true", "precision_false", "recall_false", "roc_auc", "pr_auc", "brier", "ece"]
+
+
+def _weighed(n_draws: int, seed: int):
+    """Each cell of equal rows with its weight in every draw: the Poisson weights of n rows sum to a Poisson weight of mean n."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+        import xxhash
+
+        for b in batches:
+            for k in range(0, len(b), 100):
+                out = []
+                for c in b.iloc[k : k + 100].itertuples(index=False):
+                    rng = np.random.default_rng(xxhash.xxh64_intdigest(f"{c.by}\x1f{c.p!r}\x1f{c.pred}", seed % (1 << 64)))
+                    w = pd.DataFrame({"draw": np.arange(n_draws, dtype=np.int32), "pos": rng.poisson(c.pos, n_draws), "neg": rng.poisson(c.neg, n_draws)})
+                    out.append(w[w["pos"] + w["neg"] > 0].assign(by=c.by, p=c.p, pred=c.pred))
+                yield pd.concat(out)[["by", "draw", "p", "pred", "pos", "neg"]]
+
+    return run
+
+
+def bootstrap_bundle(df: DataFrame, n_draws: int = 1000, seed: int = 0, by: str = "model_name") -> DataFrame:
+    """Intervals of the eleven metrics of ``metric_bundle`` from one shared set of draws, over cells of equal rows."""
+    cells = df.groupBy(F.col(by).cast("string").alias("by"), F.col("p").cast("double").alias("p"), F.col("pred").cast("int").alias("pred")).agg(F.sum("y").cast("long").alias("pos"), F.sum(1 - F.col("y")).cast("long").alias("neg"))
+    # a cell makes a row for each draw, so cells are spread over all tasks
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = cells.repartition(parts, "by", "p", "pred").mapInPandas(_weighed(n_draws, seed), "by string, draw int, p double, pred int, pos long, neg long")
+    drawn = written(drawn.withColumn("unit", F.concat_ws("\x1f", F.col("draw").cast("string"), "by")))
+    hist = written(drawn.groupBy("unit", "p").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum(F.col("pos") + F.col("neg")).alias("n")))
+    hit = lambda c, q: F.sum(F.when(F.col("pred") == q, F.col(c)).otherwise(0))
+    counts = drawn.groupBy("unit").agg(hit("pos", 1).alias("tp"), hit("neg", 0).alias("tn"), hit("neg", 1).alias("fp"), hit("pos", 0).alias("fn"))
+    g = metrics.class_metrics(counts, "unit").join(metrics.ranking(hist, "unit"), "unit").join(metrics.brier(hist, "unit"), "unit").join(metrics.ece_quantile(hist, "unit").select("unit", "ece"), "unit")
+    return _interval(g.withColumn(by, F.substring_index("unit", "\x1f", -1)), [by], METRICS)
+
+
+def paired_accuracy_diff(pairs: DataFrame, n_draws: int = 2000, seed: int = 0) -> DataFrame:
+    """Accuracy of b less that of a on ``(row_id, y, pred_a, pred_b)``: point and interval. Rows differ by their gap only."""
+    import numpy as np
 
-def paired_accuracy_diff(pairs: DataFrame, n_draws: int = 200, seed: int = 0) -> DataFrame:
-    """Accuracy of b less that of a on ``(row_id, y, pred_a, pred_b)``: point and interval."""
     gap = (F.col("pred_b") == F.col("y")).cast("int") - (F.col("pred_a") == F.col("y")).cast("int")
-    d = draws(pairs.select("row_id", gap.alias("gap")), "row_id", n_draws, seed)
-    g = d.groupBy("draw").agg((F.sum(F.col("w") * F.col("gap")) / F.sum("w")).alias("diff"))
-    return pairs.agg(F.avg(gap).alias("point")).crossJoin(_interval(g, [], ["diff"]))
+    n = {r.gap: r.n for r in pairs.groupBy(gap.alias("gap")).agg(F.count("*").alias("n")).where("gap is not null").collect()}
+    rng = np.random.default_rng(seed)
+    less, same, more = (rng.poisson(n.get(k, 0), n_draws) for k in (-1, 0, 1))
+    total = less + same + more
+    diffs = [(float(x),) for x in ((more - less)[total > 0] / total[total > 0])]
+    drawn = pairs.sparkSession.createDataFrame(diffs, "diff double")
+    return pairs.agg(F.avg(gap).alias("point")).crossJoin(_interval(drawn, [], ["diff"]))
 
 
 def permutation_test(df: DataFrame, a: str, b: str, n_draws: int = 2000, seed: int = 0) -> DataFrame:

@@ -125,6 +125,14 @@ def test_bootstrap_covers_point(spark):
     assert ci["accuracy"][0] < acc < ci["accuracy"][1]
 
 
+def test_bootstrap_has_all_metrics(spark):
+    d = scored(spark, [int(i % 3 == 0) for i in range(300)], [((i * 37) % 100) / 200 + (0.4 if i % 3 == 0 else 0.0) for i in range(300)])
+    point = metrics.metric_bundle(d).first().asDict()
+    ci = {r.metric: r for r in resample.bootstrap_bundle(d, 200).collect()}
+    assert set(ci) == set(point) - {"model_name"} and len(ci) == 11
+    assert all(ci[m].lo <= point[m] <= ci[m].hi for m in ci if m != "ece") and ci["roc_auc"].n_kept == 200
+
+
 def test_permutation_takes_the_whole_set(spark):
     rows = [("a", ["b", "a"])] * 20 + [("b", ["b"])] * 20 + [("a", ["b"])] * 10
     r = resample.permutation_test(spark.createDataFrame(rows, "driver string, refs array<string>"), "driver", "refs").first()
