@@ -21,9 +21,6 @@ from statlathe.functions.text import digest
 from statlathe.plans.shared import written
 
 TOKENIZERS = "/opt/tokenizers"
-#: Patterns at most in the flow network on the driver. Beyond it a text counts only for the first two of its sources (by
-#: name), which leaves at most s * (s + 1) / 2 patterns of s sources.
-MAX_PATTERNS = 20_000
 #: Rows of one selection bucket, about; a bucket is what one window sorts.
 BUCKET_ROWS = 50_000
 
@@ -159,7 +156,7 @@ def plan(patterns: list[tuple[tuple[str, ...], int]], shares: dict[str, float],
 
 def mix(df: DataFrame, key: str, text: str, source: str, targets: DataFrame, total: int | None = None, seed: int = 0, folder: str = TOKENIZERS) -> DataFrame:
     """``(key, source, n_tokens, n_uses)``: documents chosen and how often each is used, at most ``max_repeats`` of its
-    source. ``targets``: source, target_share (sums to 1), max_repeats; its rows are few (one for each source).
+    source. Every pattern of sources is in the flow network, on the driver, however many there are. ``targets``: source, target_share (sums to 1), max_repeats; its rows are few (one for each source).
 
     Documents without tokens, of no source, or of sources without target are never used. Of rows with one text under one
     source, the one with the least key stands for all. The error of each share is at most one document for each pattern
@@ -174,9 +171,6 @@ def mix(df: DataFrame, key: str, text: str, source: str, targets: DataFrame, tot
     one = counted.groupBy("d", "s").agg(F.min("k").alias("k"), F.max("n_tokens").alias("n"))
     texts = written(one.groupBy("d").agg(F.array_sort(F.collect_list(F.struct("s", "k"))).alias("held"), F.max("n").alias("n")).withColumn("pattern", F.concat_ws("\x1f", "held.s")))
     sizes = texts.groupBy("pattern").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
-    if sizes.count() > MAX_PATTERNS:
-        texts = texts.withColumn("pattern", F.concat_ws("\x1f", F.slice("held.s", 1, 2)))
-        sizes = texts.groupBy("pattern").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
     found = sorted((r.pattern, r.n, r.rows) for r in sizes.collect())
     patterns = [(tuple(p.split("\x1f")), n) for p, n, _ in found]
     _, flows = plan(patterns, shares, repeats, total)
