@@ -24,7 +24,7 @@ from statlathe.plans.shared import salted_join, written
 GRAM = 3
 #: The least cosine of an accepted value, and its least lead over the next entry's.
 THRESHOLD, MARGIN = 0.56, 0.04
-#: Entries of one field's list that one task may hold as an index; longer lists are searched in slices of this size.
+#: Entries whose postings one task may hold; longer lists are searched in slices of this size.
 LIST_SLICE = 50_000
 
 # English function words, which weigh little; and what is used for a whole word without its letters in order.
@@ -98,18 +98,21 @@ def grams(word: str) -> Counter:
 class Index:
     """Inverted index of the n-grams of a list's entries, each with the words it is part of."""
 
-    def __init__(self, entries: list[tuple[int, str]]):
-        self.ids = [i for i, _ in entries]
-        self.names = [[t for t, _ in tokens(fold(n))] for _, n in entries]
-        self.words = {w for n in self.names for w in n}
-        self.long = [w for w in self.words if w not in LIGHT and len(w) > 2]
-        held = Counter(g for n in self.names for g in {g for w in n for g in grams(w)})
-        n = len(self.names)
+    def __init__(self, entries: list[tuple[int, str]], part: int = 0, parts: int = 1):
+        """Weights, known words and initials are those of all ``entries``; only every ``parts``-th entry from ``part`` on is
+        posted."""
+        names = [[t for t, _ in tokens(fold(n))] for _, n in entries]
+        self.words = {w for n in names for w in n}
+        self.long = sorted(w for w in self.words if w not in LIGHT and len(w) > 2)
+        held = Counter(g for n in names for g in {g for w in n for g in grams(w)})
+        n = len(names)
         self.idf = {g: math.log(1 + n / k) for g, k in held.items()}
         self.unknown = math.log(1 + n)
         self.memory: dict[str, Counter] = {}
-        initials = Counter(self._initials(n) for n in self.names)
-        self.initials = {self._initials(n): i for i, n in zip(self.ids, self.names, strict=True) if len(self._initials(n)) > 2 and initials[self._initials(n)] == 1}
+        initials = Counter(self._initials(n) for n in names)
+        self.initials = {self._initials(n): i for (i, _), n in zip(entries, names, strict=True) if len(self._initials(n)) > 2 and initials[self._initials(n)] == 1}
+        self.first = part == 0  # which answers for initials
+        self.ids, self.names = [i for i, _ in entries[part::parts]], names[part::parts]
         self.postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
         for k, name in enumerate(self.names):
             v = self.vector([(w, False) for w in name])
@@ -154,7 +157,7 @@ class Index:
         """The two best entries of a value, best first, ties by the smaller id."""
         score: dict[int, float] = defaultdict(float)
         if (short := re.sub(r"[\s.]", "", fold(value))) in self.initials:
-            return [(1.0, self.initials[short])]
+            return [(1.0, self.initials[short])] if self.first else []
         for r in readings(value):
             v = self.vector(tokens(fold(r)))
             size = math.sqrt(sum(x * x for x in v.values()))
@@ -169,9 +172,9 @@ class Index:
         return sorted(((x, self.ids[k]) for k, x in score.items()), key=lambda s: (-s[0], s[1]))[:2]
 
 
-def _match(entries: dict[str, list[tuple[int, str]]]):
+def _match(entries: dict[str, list[tuple[int, str]]], part: int = 0, parts: int = 1):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = {f: Index(e) for f, e in entries.items()}
+        index = {f: Index(e, part, parts) for f, e in entries.items()}
         for b in batches:
             out = []
             for f, v in zip(b["field_name"], b["value"], strict=True):
@@ -186,16 +189,16 @@ def match_values(values: DataFrame, canon: DataFrame, threshold: float = THRESHO
     """``(field_name, value, canon_id, score, lead)`` for each distinct ``(field_name, value)``; canon_id 0 when no entry
     reaches the threshold with the margin, or when the field has no list. ``canon``: field_name, canon_id, canon_name.
 
-    The list is held by each task in slices of ``LIST_SLICE`` entries of a field; the best two of each slice are merged."""
+    Each task holds the list, and the postings of about ``LIST_SLICE`` of its entries; the best two of each slice are
+    merged, which all weigh by the whole list."""
     rows = canon.where(F.col("canon_name").isNotNull()).select("field_name", F.col("canon_id").cast("int").alias("canon_id"), "canon_name")
-    n = rows.count()
-    slices = max(1, -(-n // LIST_SLICE))
+    entries = defaultdict(list)
+    for r in rows.orderBy("field_name", "canon_id", "canon_name").collect():
+        entries[r.field_name].append((r.canon_id, r.canon_name))
+    slices = max(1, -(-sum(map(len, entries.values())) // LIST_SLICE))
     found = None
     for k in range(slices):
-        entries = defaultdict(list)
-        for r in rows.where(F.pmod(F.xxhash64("canon_id"), F.lit(slices)) == k).collect():
-            entries[r.field_name].append((r.canon_id, r.canon_name))
-        one = values.mapInPandas(_match(dict(entries)), "field_name string, value string, canon_id int, score double, rank int")
+        one = values.mapInPandas(_match(dict(entries), k, slices), "field_name string, value string, canon_id int, score double, rank int")
         found = one if found is None else found.union(one)
     top = found.groupBy("field_name", "value").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "canon_id"))).alias("top"))
     score, lead = -F.col("top")[0].s, F.get("top", F.lit(1)).s - F.col("top")[0].s

@@ -150,6 +150,18 @@ def test_canon(spark):
     assert canon.map_fields(d, "row_id", ["f"], c.limit(0)).where("canon_id <> 0").count() == 0
 
 
+def test_canon_slices_agree_with_the_whole(spark, monkeypatch):
+    towns = ["Bastonia", "Bostonia", "Hartwell", "Hartwick", "Old Charter Society", "Kellmore", "Radio interview", "Radio ad", "Northfield", "Southfield"]
+    c = spark.createDataFrame([("f", i + 1, t) for i, t in enumerate(towns)], "field_name string, canon_id int, canon_name string")
+    d = spark.createDataFrame([("f", v) for v in ["bastonia", "bostonia", "hartwel", "OCS", "kelmore", "radio i/v", "north field"]], "field_name string, value string")
+    want = sorted(tuple(r) for r in canon.match_values(d, c).collect())
+    assert {v: i for _, v, i, _, _ in want}["bastonia"] == 1
+    monkeypatch.setattr(canon, "LIST_SLICE", 3)
+    got = sorted(tuple(r) for r in canon.match_values(d, c).collect())
+    assert [x[:3] for x in got] == [x[:3] for x in want]
+    assert [x[3:] for x in got] == [pytest.approx(x[3:]) for x in want]
+
+
 def test_leaks(spark):
     rng = random.Random(2)
     vocab = [f"word{i}" for i in range(500)]
@@ -197,6 +209,17 @@ def test_mixture(spark):
     assert mixture.mix(d.limit(0), "doc_id", "text", "source", t).count() == 0
 
 
+@pytest.mark.skipif(not os.path.exists(mixture.TOKENIZERS), reason="no tokenizer files")
+def test_mixture_keeps_all_sources_of_many_patterns(spark, monkeypatch):
+    # c holds nothing of its own: all its texts are a's and b's as well
+    rows = [(100 * k + i, f"text {i}", s) for i in range(60) for k, s in enumerate("abc") if k < 2 or i < 30]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    t = spark.createDataFrame([("a", 0.25, 1), ("b", 0.25, 1), ("c", 0.5, 1)], "source string, target_share double, max_repeats int")
+    monkeypatch.setattr(mixture, "MAX_PATTERNS", 1, raising=False)
+    by = {r.source: r for r in mixture.mix_report(mixture.mix(d, "doc_id", "text", "source", t), "source", t).collect()}
+    assert by["c"].share == pytest.approx(0.5, abs=0.05)
+
+
 def test_mixture_plan_uses_repeats_last():
     quota, flows = mixture.plan([(("a",), 100), (("b",), 100), (("a", "b"), 50)], {"a": 0.5, "b": 0.5}, {"a": 1, "b": 2})
     assert abs(quota["a"] - quota["b"]) <= 1 and quota["a"] == 150
