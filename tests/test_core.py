@@ -87,6 +87,18 @@ def test_platt_recovers_parameters(spark):
     assert fit["A"] == pytest.approx(0.45, abs=0.04) and fit["B"] == pytest.approx(-0.6, abs=0.04)
 
 
+def test_fit_best_decides_by_the_resampled_interval(spark):
+    # a plain bias, which Platt alone can fit; then mirrored cells, where only the draws differ between the two
+    bias = spark.createDataFrame([("m", 0.2, 60, 40, 100), ("m", 0.8, 95, 5, 100)], "model_name string, p double, pos long, neg long, n long")
+    even = spark.createDataFrame([("m", 0.2, 30, 70, 100), ("m", 0.8, 70, 30, 100)], "model_name string, p double, pos long, neg long, n long")
+    for hist in (bias, even):
+        fit = calibrate.fit_best(hist, 200)
+        point, lo, hi = fit["nll_diff_ci"]
+        assert (fit["method"], fit["selected_by"]) == (("platt", "margin") if lo > 0 else ("temperature", "parsimony"))
+        assert -1e-9 < lo < hi and point < hi
+        assert lo < point if hist is bias else hi < 0.05
+
+
 def test_artifact_round_trip(tmp_path):
     path = str(tmp_path / "a.json")
     calibrate.save_artifact(path, "m", "logprob", {"calibrator": {"A": 1.0}})
