@@ -1,9 +1,11 @@
 """Variant spellings of names typed by people (problem 3).
 
 Names are read as tokens. Tokens are compared by MinHash bands over padded q-grams, with as many bands as the collision
-curve asks for; names that share an equal or similar token are candidates (where the token is common to many names, those
-of them whose other tokens can match as well), verified by a Monge-Elkan similarity whose token measure knows typos, initials, short forms and nicknames; star clustering then gives
-every spelling to one fullest, most used spelling.
+curve asks for, and by deletion keys. Names are candidates when they share an equal or similar token and what is left of
+both can agree as well: of people the other name (equal, of one full name, similar, or an initial), of organisations the
+initials of the other words. So no token makes candidates by itself, however common it is, and the rule is the same at
+every size. Candidates are verified by the Monge-Elkan similarity, whose token measure knows typos, initials, short forms
+and nicknames; star clustering then gives every spelling to one fullest, most used spelling.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -23,11 +26,10 @@ from statlathe.plans.shared import drop_written, written
 GRAM = 3
 #: Rows of a band, the Jaccard similarity of q-grams at which a token pair must be found, and how surely.
 BAND_ROWS, AT, RECALL = 3, 0.42, 0.97
-#: A token in more than this part of the distinct names, and in more than MANY of them, is common: two names that share
-#: nothing else can't be verified as the same, so it makes candidates only where another token can match too.
-COMMON_PART, MANY = 0.001, 50
-#: The least Monge-Elkan similarity of two spellings of one name.
-SAME = 0.8
+#: The least Monge-Elkan similarity of two spellings of a person's name, and of an organisation's.
+PERSON, ORGANISATION = 0.9, 0.866
+#: How similar tokens are: of one full name, with one slip, a short form, two slips (long tokens only), an initial.
+NICK, SLIP, SHORT, SLIPS, INITIAL = 0.97, 0.94, 0.92, 0.85, 0.84
 MAX_ROUNDS = 30
 
 # Forms of address, generation marks, words of no weight, and short names with the full ones.
@@ -54,80 +56,101 @@ def bands(at: float = AT, rows: int = BAND_ROWS, recall: float = RECALL) -> int:
 
 
 def read_name(name: str) -> tuple[list[str], str]:
-    """A name's tokens in their order (given names first where a comma turned them round), and its generation mark.
-    Forms of address and empty words are left out; initials joined by full stops are single letters."""
+    """A name's tokens, a person's family name last, and its generation mark. Given names come first where a comma turned
+    them round; initials and short forms that stand last are taken for given names. Forms of address and empty words are
+    left out; initials joined by full stops are single letters."""
     s = fold(name).replace("ø", "o").replace("'", "").replace("/", " ")
     s = re.sub(r"\b(mr|ms|mrs|dr)\b\.?", " ", s)
     if "," in s:
         last, _, first = s.partition(",")
         s = f"{first} {last}"
-    words = re.findall(r"[^\W_]+", re.sub(r"(?<=\b\w)\.", " ", s))
-    mark = next((MARKS[w] for w in words if w in MARKS), "")
-    left = [w for w in words if w not in MARKS and w not in EMPTY]
-    kept = [w for w in left if w not in TITLES]
-    return (kept or left or [s.strip()]), mark
+    found = [(m.group(1), bool(m.group(2))) for m in re.finditer(r"([^\W_]+)(\.?)", re.sub(r"(?<=\b\w)\.", " ", s))]
+    mark = next((MARKS[w] for w, _ in found if w in MARKS), "")
+    left = [(w, cut) for w, cut in found if w not in MARKS and w not in EMPTY]
+    left = [x for x in left if x[0] not in TITLES] or left
+    n = len(left)
+    while n and (len(left[n - 1][0]) == 1 or left[n - 1][1] and len(left[n - 1][0]) <= 4):
+        n -= 1
+    return [w for w, _ in (left[n:] + left[:n] if n else left)] or [s.strip()], mark
 
 
+def full_name(token: str) -> str:
+    return NICKNAMES.get(token, token)
+
+
+def slip_similarity(a: str, b: str) -> float:
+    """Of tokens that are equal or differ by a slip (two where both are long), or 0."""
+    if a == b:
+        return 1.0
+    if len(a) > 3 and len(b) > 3 and one_slip(a, b, 1):
+        return SLIP
+    return SLIPS if len(a) > 6 and len(b) > 6 and one_slip(a, b, 2) else 0.0
+
+
+@lru_cache(200_000)
 def token_similarity(a: str, b: str) -> float:
     if a == b:
         return 1.0
-    p, q = NICKNAMES.get(a, a), NICKNAMES.get(b, b)
+    p, q = full_name(a), full_name(b)
     if p == q:
-        return 0.97
+        return NICK
     if len(a) == 1 or len(b) == 1:
-        return 0.85 if p[0] == q[0] or a[0] == b[0] else 0.0
-    for x, y in ((p, q), (q, p)):
-        if len(x) > 3 and len(y) > 3 and one_slip(x, y, 1):
-            return 0.94
-    if (len(a) >= 3 or len(b) >= 3) and (short_for(a, b) or short_for(b, a)) and min(len(a), len(b)) <= 5:
-        return 0.92
-    if len(p) > 6 and len(q) > 6 and one_slip(p, q, 2):
-        return 0.88
-    return 0.0
+        return INITIAL if p[0] == q[0] or a[0] == b[0] else 0.0
+    slip = slip_similarity(p, q)
+    short = SHORT if (len(a) >= 3 or len(b) >= 3) and (short_for(a, b) or short_for(b, a)) and min(len(a), len(b)) <= 5 else 0.0
+    return max(slip, short)
 
 
 def monge_elkan(a: list[str], b: list[str]) -> float:
-    """Mean over the tokens of the name with fewer of them of each one's best match in the other, every token matched
-    once at most; best matches are taken first."""
-    if len(a) > len(b):
-        a, b = b, a
-    found = sorted(((token_similarity(x, y), i, j) for i, x in enumerate(a) for j, y in enumerate(b)), key=lambda t: (-t[0], t[1], t[2]))
-    used_a, used_b, total = set(), set(), 0.0
-    for s, i, j in found:
-        if s and i not in used_a and j not in used_b:
-            used_a.add(i)
-            used_b.add(j)
-            total += s
-    return total / len(a)
-
-
-def same_name(x: tuple[list[str], str], y: tuple[list[str], str], link: tuple[str, str]) -> float:
-    """Monge-Elkan similarity of two read names that hold the similar tokens ``link``, or 0 where the rest speaks against
-    it: other generation marks, a first given name that does not match, words of an organisation left over, or so many
-    slips that only an initial would speak for it."""
+    """The mean, over the tokens of one name, of each one's best match in the other; of both directions the smaller."""
+    mean = lambda x, y: sum(max(token_similarity(v, w) for w in y) for v in x) / len(x)
+    return min(mean(a, b), mean(b, a))
+
+
+def is_person(tokens: list[str]) -> bool:
+    """Whether tokens may be a person's name: a family name, and a given one or two, of which one is an initial."""
+    return 2 <= len(tokens) <= 3 and sum(len(w) > 1 for w in tokens) <= 2
+
+
+def first_letters(token: str) -> set[str]:
+    return {token[0], full_name(token)[0]}
+
+
+def initials(tokens: list[str]) -> set[str]:
+    """The sorted first letters of tokens, as typed and of the full names."""
+    return {"".join(sorted(w[0] for w in tokens)), "".join(sorted(full_name(w)[0] for w in tokens))}
+
+
+def same_name(x: tuple[list[str], str], y: tuple[list[str], str]) -> float:
+    """The Monge-Elkan similarity of two read names, or 0 when it is below ``PERSON`` or ``ORGANISATION`` or something
+    speaks against it: other generation marks; of people, family names that agree only as an initial or short form would
+    (unless given and family name are turned round), given names that don't agree, or slips in both with other first
+    letters; of organisations, a word without a match, or no equal or similar word beside which the initials of the
+    others agree. A person's middle initial doesn't count where the other spelling has none."""
     (a, ma), (b, mb) = x, y
-    if ma != mb or link[0] not in a or link[1] not in b:
+    if ma != mb or (len(a) == 1) != (len(b) == 1):
         return 0.0
-    rest_a, rest_b = list(a), list(b)
-    rest_a.remove(link[0])
-    rest_b.remove(link[1])
-    key = token_similarity(*link)
-    if key < 0.85 or not rest_a or not rest_b:
-        return key if not rest_a and not rest_b else 0.0
-    full = [w for w in rest_a if len(w) > 1], [w for w in rest_b if len(w) > 1]
-    people = len(full[0]) <= 1 and len(full[1]) <= 1 and len(rest_a) <= 2 and len(rest_b) <= 2
-    if people:
-        first = token_similarity(rest_a[0], rest_b[0])
-        if not full[0] and not full[1] and rest_a[0] != rest_b[0]:
+    if is_person(a) and is_person(b):
+        if len(a) != len(b):
+            a, b = [a[0], a[-1]], [b[0], b[-1]]
+        family = slip_similarity(a[-1], b[-1])
+        if family:
+            if not token_similarity(a[0], b[0]) or (family < 1 and not first_letters(a[0]) & first_letters(b[0])):
+                return 0.0
+        elif not all(slip_similarity(full_name(v), full_name(w)) for v, w in ((a[-1], b[0]), (a[0], b[-1]))):
             return 0.0
-        if first == 0 or (key < 1 and first < 0.9) or (key < 0.9 and first < 0.97):
+        least = PERSON
+    else:
+        if len(a) != len(b) or (len(a) == 1 and not slip_similarity(a[0], b[0])):
             return 0.0
-        return (key + first) / 2
-    if len(rest_a) != len(rest_b):
-        return 0.0
-    other = monge_elkan(rest_a, rest_b)
-    lone = min((max(token_similarity(w, v) for v in rest_b) for w in rest_a), default=0.0)
-    return (key + len(rest_a) * other) / (1 + len(rest_a)) if lone > 0 and (key == 1 or other > 0.9) else 0.0
+        least = ORGANISATION if len(a) > 1 else PERSON
+        if any(not any(token_similarity(v, w) for w in q) for p, q in ((a, b), (b, a)) for v in p):
+            return 0.0
+        rest = lambda t, i: initials(t[:i] + t[i + 1 :])
+        if not any(len(v) > 1 and slip_similarity(v, w) and rest(a, i) & rest(b, j) for i, v in enumerate(a) for j, w in enumerate(b)):
+            return 0.0
+    score = monge_elkan(a, b)
+    return score if score >= least else 0.0
 
 
 def _grams(token: str) -> set[str]:
@@ -174,57 +197,76 @@ def _band_keys(n_bands: int):
 
 
 def similar_tokens(tokens: DataFrame) -> DataFrame:
-    """``(token, other)``: pairs of different ``tokens`` (distinct) that share a band or a slip key and differ by at most
-    two slips (one when short). Bands alone miss many slips of short tokens (smith and simth share 0.27 of their q-grams);
-    slip keys find them all."""
+    """``(token, other)``: pairs of different ``tokens`` (distinct) that share a band or a slip key and differ by one slip
+    (at most two when both are long). Bands alone miss many slips of short tokens (smith and simth share 0.27 of their
+    q-grams); slip keys find them all."""
     keys = tokens.mapInPandas(_band_keys(bands()), "token string, key long")
-    pairs = keys.join(keys.select(F.col("token").alias("other"), "key"), "key").where("token < other").select("token", "other").distinct()
+    pairs = keys.join(keys.select(F.col("token").alias("other"), "key"), "key").where("token < other")
     size = F.least(F.length("token"), F.length("other"))
     # swaps of neighbours are one slip here and two to levenshtein
-    return pairs.where(F.levenshtein("token", "other") <= F.when(size > 6, 4).otherwise(2))
+    pairs = pairs.where(F.levenshtein("token", "other", 4) >= 0).select("token", "other").distinct()
+    return pairs.where((F.levenshtein("token", "other") <= F.when(size > 6, 4).otherwise(2)) & (size > 3)).mapInPandas(_slipped, "token string, other string")
 
 
-def _combined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each token of a name with each of its others (``by``; ``canon`` its full name). ``role``: f where the token is the
-    last one, as family names are, g where the other is, else o; ``person``: at most one more full token."""
+def _slipped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield b[[bool(slip_similarity(x, y)) for x, y in zip(b["token"], b["other"], strict=True)]]
+
+
+#: How a key of a name is used: it is only found; only asks; does both; asks with tokens similar to ``x``; or with tokens
+#: similar to ``rest``.
+GIVES, ASKS, BOTH, ASKS_NEAR, ASKS_NEAR_REST = range(5)
+
+
+def name_keys(tokens: list[str]) -> list[tuple[str, str, int, str]]:
+    """``(x, trait, use, rest)``: two names are candidates when what one asks for, the other gives."""
+    if len(tokens) == 1:
+        return [(tokens[0], "s", BOTH, ""), (tokens[0], "s", ASKS_NEAR, "")]
+    out = set()
+    if is_person(tokens):
+        given, family = tokens[0], tokens[-1]
+        out.add((family, "=" + full_name(given), BOTH, ""))
+        out |= {(w, "=" + full_name(family), GIVES, "") for w in (given, full_name(given))}
+        out.add((full_name(family), "=" + full_name(given), ASKS, ""))  # a name turned round
+        for c in first_letters(given):
+            out |= {(family, c, GIVES, ""), (family, c, ASKS_NEAR, "")}
+        out |= {(given, c, GIVES, "") for c in first_letters(family)}
+        if len(given) <= 5:
+            out.add((family, given[0], ASKS, ""))
+        out.add((family, "=", ASKS_NEAR_REST, full_name(given)))
+    if not is_person(tokens) or len(tokens) == 3:
+        for i, w in enumerate(tokens):
+            if len(w) > 1:
+                for c in initials(tokens[:i] + tokens[i + 1 :]):
+                    out |= {(w, f"{len(tokens)} {c}", BOTH, ""), (w, f"{len(tokens)} {c}", ASKS_NEAR, "")}
+    return [k for k in out if k[2] < ASKS_NEAR or len(k[3] or k[0]) > 3]
+
+
+def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        out = []
-        for name, tokens, mark in zip(b["name"], b["tokens"], b["mark"], strict=True):
-            t, n = list(tokens), len(tokens)
-            person = n <= 3 and sum(len(w) > 1 for w in t) <= 2
-            for i, x in enumerate(t):
-                for j, w in enumerate(t):
-                    if i != j:
-                        out.append((name, x, w, NICKNAMES.get(w, w), mark, n, person, "f" if i == n - 1 else "g" if j == n - 1 else "o"))
-            if n == 1:
-                out.append((name, t[0], "", "", mark, n, person, "f"))
-        yield pd.DataFrame(out, columns=["name", "token", "by", "canon", "mark", "size", "person", "role"]).astype({"size": "int32", "person": "bool"})
-
-
-def _tied(names: DataFrame, often: DataFrame, near: DataFrame) -> DataFrame:
-    """``(a, key_a, b, key_b)``: names that share a common token, or hold similar ones of which one at least is common, and
-    another token equal, of one full name, or similar, or (one of them at most five letters) an initial or a short form.
-    Of two people, initials and short forms stand for given names only."""
-    turned = near.select(F.col("other").alias("token"), F.col("token").alias("other"))
-    near = near.union(turned)
-    common = often.where("not rare").select("token")
-    mixed = near.join(common, "token", "left_semi").union(near.join(common.withColumnRenamed("token", "other"), "other", "left_semi").select("token", "other")).distinct()
-    linked = written(mixed.union(common.select("token", F.col("token").alias("other"))))
-    rows = written(names.select("name", "tokens", "mark").mapInPandas(_combined, "name string, token string, by string, canon string, mark string, size int, person boolean, role string").join(linked.select("token").distinct(), "token"))
-    letters = F.array_distinct(F.transform(F.array("by", "canon"), lambda w: F.concat(F.lit("1"), F.substring(w, 1, 1))))
-    whole = F.concat(F.lit("="), F.col("canon")).alias("trait")
-    first = rows.where("by != ''").withColumn("trait", F.explode(letters))
-    similar = rows.join(near.select(F.col("token").alias("canon"), F.col("other").alias("v")), "canon").select(*rows.columns, F.concat(F.lit("="), F.col("v")).alias("trait"))
-    left = rows.select("*", whole).union(similar).union(first.where(F.length("by") <= 5))
-    left = left.join(linked, "token").withColumnsRenamed({"name": "a", "token": "key_a", "by": "by_a", "size": "size_a", "person": "person_a", "role": "role_a"}).drop("canon")
-    right = rows.select("*", whole).union(first).withColumnsRenamed({"name": "b", "token": "other", "by": "by_b", "size": "size_b", "person": "person_b", "role": "role_b"}).drop("canon")
-    equal = F.col("trait").startswith("=")
-    within = (F.length("by_a") >= 3) & F.regexp_like("by_b", F.concat(F.lit("^"), F.regexp_replace("by_a", "(.)", "$1.*")))
-    short = (F.length("by_a") == 1) | (F.length("by_b") == 1) | F.col("by_b").startswith(F.col("by_a")) | F.col("by_a").startswith(F.col("by_b")) | within
-    people = F.col("person_a") & F.col("person_b")
-    of_people = F.when(equal, F.col("role_a").isin("f", "g") & F.col("role_b").isin("f", "g")).otherwise((F.col("role_a") == "f") & (F.col("role_b") == "f"))
-    both = left.join(right, ["other", "trait", "mark"]).where("a != b").where(equal | short).where(F.when(people, of_people & ((F.col("size_a") > 1) == (F.col("size_b") > 1))).otherwise(F.col("size_a") == F.col("size_b")))
-    return both.select("a", "key_a", "b", F.col("other").alias("key_b"))
+        out = [(n, m, *k) for n, m, t in zip(b["name"], b["mark"], b["tokens"], strict=True) for k in name_keys(list(t))]
+        yield pd.DataFrame(out, columns=["name", "mark", "x", "trait", "use", "rest"]).astype({"use": "int32"})
+
+
+def candidates(names: DataFrame) -> DataFrame:
+    """``(a, b)``, a < b: pairs of names that ``same_name`` can take for one. Of two similar tokens the one that fewer names
+    hold asks for the other, so a much-used token isn't repeated for all its slips."""
+    each = names.select(F.explode("tokens").alias("token"))
+    nick = F.create_map(*[F.lit(x) for kv in NICKNAMES.items() for x in kv])
+    often = written(each.union(each.select(F.try_element_at(nick, "token").alias("token")).where("token is not null")).groupBy("token").agg(F.count("*").alias("k")))
+    near = similar_tokens(often.where(F.length("token") > 3).select("token"))
+    rank = often.select("token", F.struct("k", "token").alias("rank"))
+    near = near.join(rank.withColumnRenamed("rank", "rank_a"), "token").join(rank.select(F.col("token").alias("other"), F.col("rank").alias("rank_b")), "other")
+    first = F.col("rank_a") < F.col("rank_b")
+    near = written(near.select(F.when(first, F.col("token")).otherwise(F.col("other")).alias("token"), F.when(first, F.col("other")).otherwise(F.col("token")).alias("asked")))
+    keys = written(names.select("name", "tokens", "mark").mapInPandas(_keys, "name string, mark string, x string, trait string, use int, rest string"))
+    key = F.xxhash64("x", "trait", "mark").alias("key")
+    gives = keys.where(F.col("use").isin(GIVES, BOTH)).select(F.col("name").alias("b"), key)
+    plain = keys.where(F.col("use").isin(ASKS, BOTH)).select(F.col("name").alias("a"), key)
+    by_x = keys.where(F.col("use") == ASKS_NEAR).join(near, F.col("x") == F.col("token")).select(F.col("name").alias("a"), F.xxhash64("asked", "trait", "mark").alias("key"))
+    by_rest = keys.where(F.col("use") == ASKS_NEAR_REST).join(near, F.col("rest") == F.col("token")).select(F.col("name").alias("a"), F.xxhash64("x", F.concat("trait", "asked"), "mark").alias("key"))
+    asks = plain.union(by_x).union(by_rest)
+    return asks.join(gives, "key").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -235,13 +277,10 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    read = lru_cache(200_000)(read_name)
     for b in batches:
-        score = [
-            same_name((list(ta), ma), (list(tb), mb), (ka, kb))
-            for ta, ma, tb, mb, ka, kb in zip(b["tokens_a"], b["mark_a"], b["tokens_b"], b["mark_b"], b["key_a"], b["key_b"], strict=True)
-        ]
-        b["score"] = score
-        yield b.loc[b["score"] >= SAME, ["a", "b", "score"]]
+        b["score"] = [same_name(read(x), read(y)) for x, y in zip(b["a"], b["b"], strict=True)]
+        yield b.loc[b["score"] > 0, ["a", "b", "score"]]
 
 
 def linked_names(df: DataFrame, name: str, job: str) -> tuple[DataFrame, DataFrame]:
@@ -251,27 +290,7 @@ def linked_names(df: DataFrame, name: str, job: str) -> tuple[DataFrame, DataFra
     by_job = written(rows.groupBy("name", "job").agg(F.count("*").alias("n")))
     counted = by_job.groupBy("name").agg(F.sum("n").alias("n"))
     names = written(counted.mapInPandas(_read, "name string, n long, tokens array<string>, mark string"))
-    held = names.select("name", F.explode(F.array_distinct("tokens")).alias("token"))
-    total = names.count()
-    often = held.groupBy("token").agg(F.count("*").alias("k"))
-    often = often.withColumn("rare", (F.length("token") > 2) & (F.col("k") <= max(MANY, COMMON_PART * total)))
-    often = written(often)
-    keyed = written(held.join(often.where("rare").select("token"), "token"))
-    near = written(similar_tokens(often.where(F.length("token") > 2).select("token")))
-    other = keyed.select(F.col("name").alias("b"), F.col("token").alias("key_b"))
-    mine = keyed.select(F.col("name").alias("a"), F.col("token").alias("key_a"))
-    equal = mine.join(other, F.col("key_a") == F.col("key_b"))
-    close = near.join(mine, near.token == mine.key_a).join(other, F.col("other") == F.col("key_b")).select("a", "key_a", "b", "key_b")
-    tied = _tied(names, often, near)
-    both = equal.union(close.select("a", "key_a", "b", "key_b")).union(tied).where("a != b")
-    turned = F.col("a") > F.col("b")
-    pick = lambda x, y, z: F.when(turned, F.col(y)).otherwise(F.col(x)).alias(z)
-    cands = both.select(pick("a", "b", "a"), pick("b", "a", "b"), pick("key_a", "key_b", "key_a"), pick("key_b", "key_a", "key_b")).distinct()
-    left = names.select(F.col("name").alias("a"), F.col("tokens").alias("tokens_a"), F.col("mark").alias("mark_a"))
-    right = names.select(F.col("name").alias("b"), F.col("tokens").alias("tokens_b"), F.col("mark").alias("mark_b"))
-    full = cands.join(left, "a").join(right, "b")
-    found = full.mapInPandas(_verify, "a string, b string, score double").groupBy("a", "b").agg(F.max("score").alias("score"))
-    found = written(found)
+    found = written(candidates(names).mapInPandas(_verify, "a string, b string, score double"))
     jobs = by_job.where("job is not null").select("name", "job", (F.col("n") / F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("name")))).alias("w"))
     agree = found.join(jobs.select(F.col("name").alias("a"), "job", "w"), "a").join(jobs.select(F.col("name").alias("b"), "job", F.col("w").alias("v")), ["b", "job"])
     agree = agree.groupBy("a", "b").agg(F.sum(F.col("w") * F.col("v")).alias("jobs"))
