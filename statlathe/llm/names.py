@@ -200,7 +200,9 @@ def similar_tokens(tokens: DataFrame) -> DataFrame:
     """``(token, other)``: pairs of different ``tokens`` (distinct) that share a band or a slip key and differ by one slip
     (at most two when both are long). Bands alone miss many slips of short tokens (smith and simth share 0.27 of their
     q-grams); slip keys find them all."""
-    keys = tokens.mapInPandas(_band_keys(bands()), "token string, key long")
+    # a token makes many keys, which the planner can't know: they are spread over all tasks and never broadcast
+    parts = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = tokens.repartition(parts, "token").mapInPandas(_band_keys(bands()), "token string, key long").hint("merge")
     pairs = keys.join(keys.select(F.col("token").alias("other"), "key"), "key").where("token < other")
     size = F.least(F.length("token"), F.length("other"))
     # swaps of neighbours are one slip here and two to levenshtein
