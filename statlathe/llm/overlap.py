@@ -11,20 +11,21 @@ differ by more than the edits allowed are dropped in the join itself; the rest a
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statlathe.functions.text import digest, is_blank, letters_digits, norm_key
+from statlathe.functions.text import digest, is_blank, norm_key
 from statlathe.plans.shared import written
 
 #: At most one word in PART of the longer text may differ.
 PART = 6
 #: Words and word pairs in at least this part of the texts have their frequency looked up when runs are chosen. A text of
-#: w words has fewer than w pairs, so at most (mean words) / COMMON_PART pairs qualify; that bound lets them travel whole.
+#: w words has fewer than w pairs, so at most (mean words) / COMMON_PART pairs qualify; that bound lets them travel whole,
+#: as hashes. All texts are counted.
 COMMON_PART = 0.0005
 #: A run counts as rare when the expected number of texts that hold it is at most this; texts without enough rare runs
 #: try the next level, and those without enough of these are cut into equal blocks.
@@ -45,21 +46,6 @@ def allowed(longer: int) -> int:
     return longer // PART
 
 
-def _sketch(words: list[str]) -> int:
-    """A bit for each word, by its hash."""
-    out = 0
-    for w in words:
-        out |= 1 << (zlib.crc32(w.encode()) & 63)
-    return out - (1 << 64) if out >> 63 else out
-
-
-def _hash(words: list[str]) -> int:
-    import xxhash
-
-    x = xxhash.xxh3_64_intdigest(" ".join(words))
-    return x - (1 << 64) if x >> 63 else x
-
-
 def longest_partner(n: int) -> int:
     """The most words of a text that at most a sixth of its words separate from one of ``n``."""
     m = n * PART // (PART - 1)
@@ -68,112 +54,239 @@ def longest_partner(n: int) -> int:
     return m
 
 
+def _mixed(h, salt: int = 0):
+    """64-bit values whose bits all depend on all of ``h``'s."""
+    import numpy as np
+
+    h = h ^ np.uint64((salt * 0x9E3779B97F4A7C15) & (1 << 64) - 1)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
+class Words:
+    """The words of a batch of texts, one after the other: ``h``, each one's hash; text k has those from ``at[k]`` to
+    ``at[k + 1]``. The hash of any run of words takes one step."""
+
+    BASE, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+
+    def __init__(self, texts: pa.Array):
+        import numpy as np
+        import pyarrow.compute as pc
+        import xxhash
+
+        lists = pc.split_pattern(texts, " ")
+        self.at = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.values.slice(self.at[0], self.at[-1] - self.at[0]).dictionary_encode()
+        self.at -= self.at[0]
+        known = np.array([xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()] or [0], dtype=np.uint64)
+        self.h = known[coded.indices.to_numpy()]
+        self.n = np.diff(self.at)
+        self.end = np.repeat(self.at[1:], self.n)
+        size = len(self.h)
+        powers = lambda x: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, x, np.uint64)]), dtype=np.uint64)
+        self.power = powers(self.BASE)
+        self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.h * powers(self.INVERSE)[:size], dtype=np.uint64)])
+
+    def runs(self, start, end, salt: int = 0):
+        """Hashes of the runs from ``start`` to ``end``; equal words give equal hashes wherever they stand."""
+        return _mixed((self.total[end] - self.total[start]) * self.power[end - 1], salt)
+
+    def pairs(self):
+        """The first place of each pair of neighbours within a text."""
+        import numpy as np
+
+        return np.flatnonzero(np.arange(1, len(self.h) + 1) < self.end)
+
+    def sketch(self):
+        """Of each text, a bit for each word, by its hash. No text is without words."""
+        import numpy as np
+
+        return np.bitwise_or.reduceat(np.uint64(1) << (self.h & np.uint64(63)), self.at[:-1]).view(np.int64)
+
+
 class Runs:
-    """Chooses runs of words. ``words`` and ``pairs``: shares of the texts that hold a common one; ``n``: number of texts."""
+    """Chooses runs of words. ``common``: sorted hashes of common words and of common pairs, each with the share of the
+    texts that hold it; ``n``: number of texts."""
 
-    def __init__(self, words: dict[str, float], pairs: dict[str, float], n: int):
-        self.words, self.pairs = words, pairs
+    def __init__(self, common, n: int):
+        self.common = common
         self.floor = COMMON_PART / 2
         self.rare = [r / max(n, 1) for r in RARE]
 
-    def shares(self, w: list[str]) -> tuple[list[float], list[float]]:
-        """The share of texts that hold each pair of neighbours, and by how much each further word lessens it."""
-        f, g, floor = self.words, self.pairs, self.floor
-        one = [f.get(x, floor) for x in w]
-        two = [g.get(a + " " + b) or min(floor, 4 * p * q) for a, b, p, q in zip(w, w[1:], one, one[1:], strict=False)]
-        return two, [min(1.0, x / p) for x, p in zip(two, one, strict=False)]
-
-    def rare_runs(self, w: list[str], level: int = 0, shares=None) -> list[tuple[int, int]]:
-        """At each place the shortest run that starts there and is rare; a function of the run's own words alone."""
-        two, step = shares or self.shares(w)
-        out, n, rare = [], len(w), self.rare[level]
-        for i, p in enumerate(two):
-            if p > rare:
-                j, last = i + 2, min(n, i + LONGEST)
-                while p > rare and j < last:
-                    p *= step[j - 1]
-                    j += 1
-                if p > rare:
-                    continue
-                out.append((i, j))
-            else:
-                out.append((i, i + 2))
-        return out
-
-    def chosen(self, w: list[str]) -> tuple[int, list[tuple[int, int]]]:
-        """The level, and disjoint runs, one more than the edits any partner allows; blocks of q words are level 10 + q.
-        A text none of whose partners allows an edit has none: only its equals match it."""
-        need = allowed(longest_partner(len(w))) + 1
-        if need == 1:
-            return 0, []
+    def _share(self, which: int, h):
+        import numpy as np
+
+        keys, shares = self.common[which]
+        if not len(keys):
+            return np.zeros(len(h))
+        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+        return np.where(keys[at] == h, shares[at], 0.0)
+
+    def shares(self, w: Words):
+        """The share of texts that hold the pair of neighbours that begins at each place (infinite where a text ends), and
+        by how much a further word lessens it."""
+        import numpy as np
+
+        size = len(w.h)
+        one = self._share(0, _mixed(w.h))
+        one[one == 0] = self.floor
+        two, step, first = np.full(size, np.inf), np.ones(size), w.pairs()
+        known = self._share(1, w.runs(first, first + 2))
+        two[first] = np.where(known > 0, known, np.minimum(self.floor, 4 * one[first] * one[first + 1]))
+        step[first] = np.minimum(1.0, two[first] / one[first])
+        return two, step
+
+    def rare_runs(self, w: Words, level: int, shares):
+        """``(start, end)`` of the shortest run that starts at each place and is rare; a function of its own words alone."""
+        import numpy as np
+
+        two, step = shares
+        p, end, place = two.copy(), np.arange(2, len(w.h) + 2), np.arange(len(w.h))
+        for size in range(3, LONGEST + 1):
+            more = np.flatnonzero((p > self.rare[level]) & (place + size <= w.end))
+            p[more] *= step[more + size - 2]
+            end[more] = more + size
+        start = np.flatnonzero(p <= self.rare[level])
+        return start, end[start]
+
+    def chosen(self, w: Words):
+        """``(text, level, key)``: for each text disjoint runs, one more than the edits any partner allows; blocks of q
+        words are level 10 + q. A text none of whose partners allows an edit has none: only its equals match it."""
+        import numpy as np
+
+        sizes, where = np.unique(w.n, return_inverse=True)
+        need = np.array([allowed(longest_partner(int(k))) + 1 for k in sizes], dtype=np.int64)[where]
         shares = self.shares(w)
+        open_, out = np.flatnonzero(need > 1), []
         for level in range(len(self.rare)):
-            out, end = [], 0
-            for i, j in sorted(self.rare_runs(w, level, shares), key=lambda x: x[1]):
-                if i >= end:
-                    out.append((i, j))
-                    end = j
-                    if len(out) == need:
-                        return level, out
-        q = max(1, len(w) // need)
-        return 10 + q, [(i * q, i * q + q) for i in range(min(need, len(w)))]
-
-
-def _common(classes: DataFrame) -> tuple[dict[str, float], dict[str, float], int]:
-    """Shares of texts that hold a common word or pair (see COMMON_PART for the bound), and the number of texts."""
+            if not len(open_):
+                break
+            start, end = self.rare_runs(w, level, shares)
+            # the run that ends first of those that start at a place or after it; the shorter one of equals
+            best = np.full(len(w.h) + 1, np.iinfo(np.int64).max)
+            best[start] = end * 64 + (end - start)
+            best = np.minimum.accumulate(best[::-1])[::-1]
+            place, got = w.at[open_], []
+            alive = np.ones(len(open_), dtype=bool)
+            for k in range(int(need[open_].max())):
+                e = best[place] >> 6
+                alive &= (e <= w.at[open_ + 1]) | (k >= need[open_])
+                took = alive & (k < need[open_])
+                got.append((open_[took], e[took] - (best[place][took] & 63), e[took]))
+                place = np.where(took, e, place)
+            done = np.zeros(len(w.n), dtype=bool)
+            done[open_[alive]] = True
+            for text, a, b in got:
+                keep = done[text]
+                out.append((text[keep], np.full(keep.sum(), level), w.runs(a[keep], b[keep], level)))
+            open_ = open_[~alive]
+        if len(open_):
+            count = np.minimum(need[open_], w.n[open_])
+            q = np.repeat(np.maximum(1, w.n[open_] // need[open_]), count)
+            text = np.repeat(open_, count)
+            a = w.at[text] + q * (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count))
+            for x in np.unique(q):
+                k = q == x
+                out.append((text[k], np.full(k.sum(), 10 + x), w.runs(a[k], a[k] + x, 10 + int(x))))
+        return [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)]
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import numpy as np
+
+    for b in batches:
+        if not len(b):
+            continue
+        w = Words(b["words"])
+        first = w.pairs()
+        for kind, h in ((0, _mixed(w.h)), (1, w.runs(first, first + 2))):
+            keys, n = np.unique(h, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(n)], ["kind", "key", "n"])
+
+
+def _common(classes: DataFrame):
+    """For words and for pairs, sorted hashes of the common ones and the shares of texts that hold them (see COMMON_PART
+    for the bound); and the number of texts."""
+    import numpy as np
+
     n = classes.count()
-    w = F.split("words", " ")
-    pair = F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i)))
-    least = max(2.0, COMMON_PART * n)
-    ones = classes.select(F.explode(w).alias("x")).groupBy("x").count().where(F.col("count") >= least)
-    twos = classes.where(F.size(w) > 1).select(F.explode(pair).alias("x")).groupBy("x").count().where(F.col("count") >= least)
-    got = [{r.x: min(1.0, r["count"] / max(n, 1)) for r in t.collect()} for t in (ones, twos)]
-    return got[0], got[1], n
+    counted = classes.select("words").mapInArrow(_counts, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    got = counted.where(F.col("n") >= max(2.0, COMMON_PART * n)).toPandas()
+    out = []
+    for kind in (0, 1):
+        mine = got[got["kind"] == kind]
+        keys, share = mine["key"].to_numpy().view(np.uint64), np.minimum(1.0, mine["n"].to_numpy() / max(n, 1))
+        order = np.argsort(keys)
+        out.append((keys[order], share[order]))
+    return out, n
+
+
+def _once(text, key):
+    """Without repeats of a key within a text."""
+    import numpy as np
+
+    order = np.lexsort((key, text))
+    text, key = text[order], key[order]
+    new = np.ones(len(text), dtype=bool)
+    new[1:] = (text[1:] != text[:-1]) | (key[1:] != key[:-1])
+    return order[new]
 
 
 _KEYS = "class_id long, n int, sketch long, level int, key long"
 
 
-def _emit_asked(words: dict, pairs: dict, n: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        runs = Runs(words, pairs, n)
+def _rows(b: pa.RecordBatch, w: Words, text, level, key) -> pa.RecordBatch:
+    import numpy as np
+
+    columns = [b["class_id"].to_numpy()[text], w.n[text].astype(np.int32), w.sketch()[text], level.astype(np.int32), key.view(np.int64)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["class_id", "n", "sketch", "level", "key"])
+
+
+def _emit_asked(common, n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = Runs(common, n)
         for b in batches:
-            at, level, key, sketch = [], [], [], []
-            for k, text in enumerate(b["words"]):
-                w = text.split(" ")
-                sketch.append(_sketch(w))
-                x, got = runs.chosen(w)
-                at.extend([k] * len(got))
-                level.extend([x] * len(got))
-                key.extend(_hash([str(x), *w[i:j]] if x else w[i:j]) for i, j in got)
-            out = b[["class_id", "n"]].assign(sketch=pd.Series(sketch, index=b.index, dtype="int64")).iloc[at].reset_index(drop=True)
-            yield out.assign(level=pd.Series(level, dtype="int32"), key=pd.Series(key, dtype="int64"))
+            if len(b):
+                w = Words(b["words"])
+                text, level, key = runs.chosen(w)
+                k = _once(text, key)
+                yield _rows(b, w, text[k], level[k], key[k])
 
     return run
 
 
-def _emit_given(words: dict, pairs: dict, n: int, levels: list[tuple[int, int, int]], wanted: bytes):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _emit_given(common, n: int, levels: list[tuple[int, int, int]], wanted: bytes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        runs, bits = Runs(words, pairs, n), np.frombuffer(wanted, dtype=np.uint8)
+        runs, bits = Runs(common, n), np.frombuffer(wanted, dtype=np.uint8)
         for b in batches:
-            at, key, sketch = [], [], []
-            for k, text in enumerate(b["words"]):
-                w = text.split(" ")
-                sketch.append(_sketch(w))
-                shares = runs.shares(w)
-                mine = {_hash(w[i:j]) for i, j in runs.rare_runs(w, 0, shares)}
-                for x, low, high in levels:
-                    if allowed(max(low, len(w))) < low - len(w) or allowed(len(w)) < len(w) - high:
-                        continue  # no asker of this level is near enough in length
-                    places = runs.rare_runs(w, x, shares) if x < 10 else [(i, i + x - 10) for i in range(len(w) - x + 11)]
-                    later = {_hash([str(x), *w[i:j]]) for i, j in places}
-                    mine |= {h for h in later if bits[(h % FILTER_BITS) >> 3] >> (h & 7) & 1}
-                at.extend([k] * len(mine))
-                key.extend(mine)
-            out = b[["class_id", "n"]].assign(sketch=pd.Series(sketch, index=b.index, dtype="int64")).iloc[at].reset_index(drop=True)
-            yield out.assign(key=pd.Series(key, dtype="int64"))
+            if not len(b):
+                continue
+            w = Words(b["words"])
+            shares = runs.shares(w)
+            of = np.repeat(np.arange(len(w.n)), w.n)
+            start, end = runs.rare_runs(w, 0, shares)
+            found = [(of[start], w.runs(start, end))]
+            for x, low, high in levels:
+                # only texts near enough in length to one that asks at this level
+                near = (np.maximum(low, w.n) // PART >= low - w.n) & (w.n // PART >= w.n - high)
+                if not near.any():
+                    continue
+                if x < 10:
+                    start, end = runs.rare_runs(w, x, shares)
+                else:
+                    start = np.flatnonzero(np.arange(x - 10, len(w.h) + x - 10) <= w.end)
+                    end = start + (x - 10)
+                mine = near[of[start]]
+                text, key = of[start[mine]], w.runs(start[mine], end[mine], x)
+                at = (key % np.uint64(FILTER_BITS)).astype(np.int64)
+                asked = (bits[at >> 3] >> (at & 7)) & 1 > 0
+                found.append((text[asked], key[asked]))
+            text, key = (np.concatenate(c) for c in zip(*found, strict=True))
+            k = _once(text, key)
+            yield _rows(b, w, text[k], np.zeros(len(k)), key[k])
 
     return run
 
@@ -183,7 +296,7 @@ def _filter_bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     bits = np.zeros(FILTER_BITS >> 3, dtype=np.uint8)
     for b in batches:
-        at = np.mod(b["key"].to_numpy(), FILTER_BITS)
+        at = (b["key"].to_numpy().view(np.uint64) % np.uint64(FILTER_BITS)).astype(np.int64)
         np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
     yield pd.DataFrame({"bits": [bits.tobytes()]})
 
@@ -218,38 +331,37 @@ def text_classes(df: DataFrame, row_id: str, text: str, split: str, train: str =
     classes of texts with the same words, ``(d, cut, class_id, in_train, in_eval, text)``, named by their least row id.
     Rows of other splits or none, and texts without a letter or digit, are left out."""
     rows = df.where(F.col(split).isin(train, *held)).select(F.col(row_id).cast("long").alias("r"), F.col(split).alias("s"), F.col(text).alias("text"))
-    rows = rows.where(~is_blank(F.col("text"))).withColumn("flat", letters_digits(F.col("text"))).where("flat != ''")
-    rows = rows.withColumn("d", digest(F.col("flat"))).drop("flat")
-    is_train = F.col("s") == train
+    words = norm_key(F.col("text"))
     # words may be cut differently in texts with the same letters, so each cut is a class of its own
-    keyed = digest(F.lower(F.regexp_replace("text", "[^\\p{L}\\p{N}]+", " ")))
-    cuts = rows.withColumn("cut", keyed).groupBy("d", "cut").agg(F.min_by("text", "r").alias("text"), F.min("r").alias("class_id"), F.max(is_train).alias("in_train"), F.max(~is_train).alias("in_eval"))
-    return rows.select("r", "s", "d", keyed.alias("cut")), cuts
+    flat = F.translate("w", "ς ", "σ")
+    members = rows.where(~is_blank(F.col("text"))).select("r", "s", words.alias("w")).where(flat != "")
+    members = written(members.select("r", "s", digest(flat).alias("d"), digest(F.col("w")).alias("cut")))
+    is_train = F.col("s") == train
+    cuts = members.groupBy("d", "cut").agg(F.min("r").alias("class_id"), F.max(is_train).alias("in_train"), F.max(~is_train).alias("in_eval"))
+    return members, cuts.join(rows.select(F.col("r").alias("class_id"), "text"), "class_id")
 
 
 def near_classes(classes: DataFrame) -> DataFrame:
     """``(train_class, eval_class)``: all pairs of different classes, one in training and one in evaluation, whose words
     turn into each other by at most one sixth of the longer one's. ``classes``: class_id, in_train, in_eval, text."""
-    coded = classes.select("class_id", "in_train", "in_eval", norm_key(F.col("text")).alias("words")).where("words != ''")
-    coded = written(coded.withColumn("n", F.size(F.split("words", " "))))
-    words, pairs, n = _common(coded)
-    plain = coded.select("class_id", "n", "words")
-    asked = written(coded.where("in_train").select(*plain.columns).mapInPandas(_emit_asked(words, pairs, n), _KEYS))
-    later = asked.where("level > 0")
-    levels = [tuple(r) for r in later.groupBy("level").agg(F.min("n"), F.max("n")).orderBy("level").collect()]
+    plain = written(classes.select("class_id", "in_train", "in_eval", norm_key(F.col("text")).alias("words")).where("words != ''"))
+    common, n = _common(plain)
+    asked = written(plain.where("in_train").select("class_id", "words").mapInArrow(_emit_asked(common, n), _KEYS))
+    levels = [tuple(r) for r in asked.where("level > 0").groupBy("level").agg(F.min("n"), F.max("n")).orderBy("level").collect()]
     wanted = 0
     if levels:
-        for r in later.select("key").coalesce(8).mapInPandas(_filter_bits, "bits binary").collect():
+        for r in asked.where("level > 0").select("key").coalesce(8).mapInPandas(_filter_bits, "bits binary").collect():
             wanted |= int.from_bytes(r.bits, "little")
-    emit = _emit_given(words, pairs, n, levels, wanted.to_bytes(FILTER_BITS >> 3, "little"))
-    given = coded.where("in_eval").select(*plain.columns).mapInPandas(emit, "class_id long, n int, sketch long, key long")
-    a, g = asked.drop("level").alias("a"), given.alias("g")
+    emit = _emit_given(common, n, levels, wanted.to_bytes(FILTER_BITS >> 3, "little"))
+    given = plain.where("in_eval").select("class_id", "words").mapInArrow(emit, _KEYS).drop("level")
+    # a text makes many keys, which the planner can't know; so neither side is broadcast
+    a, g = asked.drop("level").alias("a").hint("merge"), given.alias("g")
     most = F.floor(F.greatest("a.n", "g.n") / PART)
     lost = lambda x, y: F.bit_count(F.col(f"{x}.sketch").bitwiseAND(F.bitwise_not(F.col(f"{y}.sketch"))))
     close = (F.abs(F.col("a.n") - F.col("g.n")) <= most) & (lost("a", "g") <= most) & (lost("g", "a") <= most) & (F.col("a.class_id") != F.col("g.class_id"))
     cands = a.join(g, (F.col("a.key") == F.col("g.key")) & close).select(F.col("a.class_id").alias("train_class"), F.col("g.class_id").alias("eval_class")).distinct()
-    left = plain.select(F.col("class_id").alias("train_class"), F.col("words").alias("words_a"))
-    right = plain.select(F.col("class_id").alias("eval_class"), F.col("words").alias("words_b"))
+    left = plain.where("in_train").select(F.col("class_id").alias("train_class"), F.col("words").alias("words_a"))
+    right = plain.where("in_eval").select(F.col("class_id").alias("eval_class"), F.col("words").alias("words_b"))
     return cands.join(left, "train_class").join(right, "eval_class").mapInPandas(_confirm, "train_class long, eval_class long")
 
 
