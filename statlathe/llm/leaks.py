@@ -4,7 +4,7 @@ The index has one row for each segment (a run of documents of one partition) wit
 positions of every term. A search takes the evaluation items in blocks of bounded size and looks up, in every segment,
 word runs of each item: their rarest term's postings, adjusted by its offset, intersected with the next rarest's and so
 on. Any passage that counts holds one of an item's runs whole, so this finds them all; a chain of matches around each
-hit then decides.
+hit then decides. All lists of a segment lie together, so intersections move no postings between executors.
 """
 
 from __future__ import annotations
@@ -29,12 +29,10 @@ SCHEMA = "segment long, terms array<string>, starts binary, positions binary, do
 
 
 def _fold_table() -> dict[int, str]:
-    import regex
-
     table = dict(zip(map(ord, one_to_one()[0]), one_to_one()[1], strict=True))
     table |= {ord(k): v for k, v in LIGATURES.items()} | {ord(c): " " for c in SPACES}
-    hidden = regex.compile(INVISIBLE.replace("\\x{", "\\u").replace("}", ""))
-    return table | {c: "" for c in range(0x10000) if hidden.match(chr(c))}
+    hidden = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: re.escape(chr(int(m.group(1), 16))), INVISIBLE))
+    return table | {c: "" for c in (*range(0x10000), *range(0xE0000, 0xE0200)) if hidden.match(chr(c))}
 
 
 _TABLE: dict[int, str] = {}
@@ -114,21 +112,14 @@ class _Items:
         import numpy as np
 
         out: dict[int, list] = defaultdict(list)
-        size = len(ids)
         own = np.zeros(len(codes) + 1, dtype=bool)  # the last one is for places without a term
         bags = {}
         for run, where in self.runs.items():
             terms = [codes.get(w) for w in run]
             if None in terms:
                 continue
-            order = sorted(range(len(run)), key=lambda j: starts[terms[j] + 1] - starts[terms[j]])
-            first = order[0]
-            at = positions[starts[terms[first]] : starts[terms[first] + 1]] - first
-            at = at[(at >= 0) & (at + len(run) <= size)]
-            for j in order[1:]:
-                if not len(at):
-                    break
-                at = at[ids[at + j] == terms[j]]
+            lists = sorted(((positions[starts[t] : starts[t + 1]], j) for j, t in enumerate(terms)), key=lambda x: len(x[0]))
+            at = intersected(lists)
             if len(at):
                 for k, i in where:
                     if k not in bags:
@@ -144,6 +135,20 @@ class _Items:
         return {k: np.unique(np.concatenate(v), axis=0) for k, v in out.items()}
 
 
+def intersected(lists: list[tuple]):
+    """The places where a phrase begins: ``lists`` has, from the rarest term on, the sorted positions of each of its terms
+    and the term's offset in the phrase; each list, less its offset, is intersected with what is left so far."""
+    import numpy as np
+
+    at = lists[0][0] - lists[0][1]
+    for places, offset in lists[1:]:
+        if not len(at):
+            break
+        k = np.minimum(np.searchsorted(places, at + offset), len(places) - 1)
+        at = at[places[k] == at + offset]
+    return at
+
+
 def worth(n: int, run: int, own, ids, at):
     """Which of the places ``at``, where a run of an item of ``n`` words was found, can lie in a passage that counts. A
     passage of the least length goes on by half of what is left of it before or after the run, with at most a tenth of it
@@ -289,14 +294,16 @@ def _search(items: list[tuple[int, str]]):
 
 def search(index: DataFrame, items: DataFrame, key: str, text: str) -> DataFrame:
     """``(doc_id, item_id, covered, first_word, last_word)``: every document with a passage of an item, the part of the
-    item's words it covers and where it stands. Items are taken in blocks of ``ITEM_BLOCK``, all documents against each;
-    items without words find nothing."""
+    item's words it covers and where it stands. Items are taken in blocks of about ``ITEM_BLOCK``, all documents against
+    each; the driver holds one block at a time, and its result is a table in the shared folder. Items without words find
+    nothing."""
+    schema = "doc_id long, item_id long, covered double, first_word int, last_word int"
     rows = items.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where("t is not null")
-    n = rows.count()
-    parts = -(-n // ITEM_BLOCK)
+    parts = -(-rows.count() // ITEM_BLOCK)
     found = None
     for p in range(parts):
         block = [(r.k, r.t) for r in rows.where(F.pmod(F.xxhash64("k"), F.lit(parts)) == p).collect()]
-        one = index.mapInPandas(_search(block), "doc_id long, item_id long, covered double, first_word int, last_word int")
+        one = index.mapInPandas(_search(block), schema)
+        one = written(one) if parts > 1 else one
         found = one if found is None else found.union(one)
-    return found if found is not None else index.sparkSession.createDataFrame([], "doc_id long, item_id long, covered double, first_word int, last_word int")
+    return found if found is not None else index.sparkSession.createDataFrame([], schema)

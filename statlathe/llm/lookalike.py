@@ -22,20 +22,28 @@ GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧανορυιχκ"
 GREEK_AS = "ABEZHIKMNOPTYXavopuixk"
 OTHER = "ɑɡℓ‐‑⁃−"
 OTHER_AS = "agl----"
+ARMENIAN = "օսհյցքզ"
+ARMENIAN_AS = "ouhjgpq"
+CHEROKEE = "ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏙᏚᏞᏟᏢᏦᏴ"
+CHEROKEE_AS = "DRTAJEWMHGZVSLCPKB"
+SMALL_CAPITALS = "ᴄᴏᴠᴡᴢ"
+SMALL_CAPITALS_AS = "covwz"
 #: Characters that show nothing.
-INVISIBLE = "[\\x{00AD}\\x{034F}\\x{061C}\\x{115F}\\x{1160}\\x{180B}-\\x{180E}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{2064}\\x{2066}-\\x{206F}\\x{FE00}-\\x{FE0F}\\x{FEFF}]"
+INVISIBLE = "[\\x{00AD}\\x{034F}\\x{061C}\\x{115F}\\x{1160}\\x{180B}-\\x{180E}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{2064}\\x{2066}-\\x{206F}\\x{3164}\\x{FE00}-\\x{FE0F}\\x{FEFF}\\x{FFA0}\\x{E0000}-\\x{E007F}\\x{E0100}-\\x{E01EF}]"
 #: What a text in its one form need not be searched for: ASCII, composed Latin letters, usual marks. All other characters
 #: send a text through the whole mapping (which leaves those of them alone that have no plain form).
 UNSETTLED = "[^\\x00-\\x7F\\x{00A1}-\\x{00AC}\\x{00AE}-\\x{017E}“”‘’–—…€]"
 #: Spaces that show as the plain one.
-SPACES = "               　"
+SPACES = "               　⠀"
 
 
 def one_to_one() -> tuple[str, str]:
     """The ``translate`` arguments: full-width forms and mathematical letters by Unicode's own compatibility mapping,
     special spaces, and the look-alikes above (which also apply to what the first mapping gives)."""
-    table = dict(zip(CYRILLIC + GREEK + OTHER + SPACES, CYRILLIC_AS + GREEK_AS + OTHER_AS + " " * len(SPACES), strict=True))
-    for block in (range(0xFF01, 0xFFEF), range(0x1D400, 0x1D800)):
+    letters = CYRILLIC + GREEK + OTHER + ARMENIAN + CHEROKEE + SMALL_CAPITALS
+    plain_letters = CYRILLIC_AS + GREEK_AS + OTHER_AS + ARMENIAN_AS + CHEROKEE_AS + SMALL_CAPITALS_AS
+    table = dict(zip(letters + SPACES, plain_letters + " " * len(SPACES), strict=True))
+    for block in (range(0xFF01, 0xFFEF), range(0x1D400, 0x1D800), range(0x2160, 0x2180)):
         for code in block:
             plain = unicodedata.normalize("NFKC", chr(code))
             if len(plain) == 1 and plain != chr(code):
@@ -45,6 +53,8 @@ def one_to_one() -> tuple[str, str]:
 
 # Ligatures, which become several letters.
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+# Roman numerals that are one character, by Unicode's compatibility mapping.
+LIGATURES |= {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(0x2160, 0x2180) if len(unicodedata.normalize("NFKC", chr(c))) > 1}
 
 
 def canonical_sql(text: str) -> str:

@@ -135,8 +135,11 @@ def _solve(patterns: list[tuple[tuple[str, ...], int]], quota: dict[str, int], r
 
 def plan(patterns: list[tuple[tuple[str, ...], int]], shares: dict[str, float], repeats: dict[str, int], total: int | None = None):
     """``(quota, flows)``. Without ``total``, the largest one that all sources' shares allow, by Newton's steps on the least
-    cut: the sources that fall short bound the total by what can reach them."""
-    want = {s: x for s, x in shares.items() if x > 0}
+    cut: the sources that fall short bound the total by what can reach them. Sources of which there is no text can't reach
+    any share; they get no quota, and the others keep theirs in proportion."""
+    there = {s for p, n in patterns if n for s in p}
+    want = {s: x for s, x in shares.items() if x > 0 and s in there}
+    want = {s: x / sum(want.values()) for s, x in want.items()}
     if not want or not patterns:
         return {s: 0 for s in want}, {}
     if total is None:

@@ -225,6 +225,10 @@ def test_leaks(spark):
     assert leaks.search(index, e.limit(0), "item_id", "text").count() == 0
 
 
+def test_leak_words_are_folded():
+    assert leaks.tokens("Ｔhe “Ѕenate’s” 2\u200b0\U000e0020\u00ad9 caf\u0065\u0301\u00a0plan ⅷ") == ["the", "senate", "s", "209", "café", "plan", "viii"]
+
+
 def test_leaks_beside_short_documents(spark):
     item = [f"w{i}" for i in range(90)]
     docs = [" ".join(["x"] * 5 + item[:30]), "a b c d e f", "", None, "g h i j k l", "m n", "", " ".join(item[60:] + ["y"] * 5)]
@@ -269,3 +273,32 @@ def test_mixture_plan_uses_repeats_last():
     quota, flows = mixture.plan([(("a",), 100), (("b",), 100), (("a", "b"), 50)], {"a": 0.5, "b": 0.5}, {"a": 1, "b": 2})
     assert abs(quota["a"] - quota["b"]) <= 1 and quota["a"] == 150
     assert sum(n for (_, use), to in flows.items() for _, n in to if use == 2) == 50
+
+
+def test_mixture_goes_on_without_a_source_that_has_no_text():
+    quota, flows = mixture.plan([(("a",), 1000), (("b",), 1000)], {"a": 0.5, "b": 0.49, "c": 0.01}, {"a": 1, "b": 1, "c": 1})
+    assert "c" not in quota and quota["a"] >= 999 and quota["a"] / quota["b"] == pytest.approx(0.5 / 0.49, rel=0.01)
+
+
+def test_leaks_in_blocks_equal_one(spark, monkeypatch):
+    rng = random.Random(8)
+    vocab = [f"word{i}" for i in range(300)]
+    items = [[rng.choice(vocab) for _ in range(60)] for _ in range(12)]
+    docs = [[rng.choice(vocab) for _ in range(40)] + items[i % 12][5 : 5 + 18 + i] + [rng.choice(vocab) for _ in range(40)] for i in range(30)]
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    e = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    index = leaks.build_index(d, "doc_id", "text")
+    want = sorted(tuple(r) for r in leaks.search(index, e, "item_id", "text").collect())
+    monkeypatch.setattr(leaks, "ITEM_BLOCK", 5)
+    assert sorted(tuple(r) for r in leaks.search(index, e, "item_id", "text").collect()) == want
+    assert {(i, i % 12) for i in range(2, 30)} <= {x[:2] for x in want}  # from 20 of 60 words on
+
+
+def test_phrase_is_where_all_lists_meet():
+    import numpy as np
+
+    text = [random.Random(k).randrange(4) for k in range(400)]
+    at = {t: np.array([i for i, x in enumerate(text) if x == t]) for t in range(4)}
+    for phrase in ([0, 1], [2, 2, 3], [1, 0, 3, 3]):
+        lists = sorted(((at[t], j) for j, t in enumerate(phrase)), key=lambda x: len(x[0]))
+        assert leaks.intersected(lists).tolist() == [i for i in range(len(text)) if text[i : i + len(phrase)] == phrase]
