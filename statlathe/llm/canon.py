@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -90,6 +91,20 @@ def one_slip(a: str, b: str, most: int) -> bool:
     return row[-1] <= most
 
 
+def slip_keys(token: str) -> set[str]:
+    """Tokens of more than three letters a slip apart (two slips where both have more than six) share one of these: what is
+    left of a token without one of its letters (two where it is long). Of very long tokens, the first or last letters, or
+    some between two slips."""
+    n, out = len(token), set()
+    if n > 3 and n <= 26:
+        out = {token} | {token[:i] + token[i + 1 :] for i in range(n)}
+        if n > 6:
+            out |= {w[:i] + w[i + 1 :] for w in list(out - {token}) for i in range(n - 1)}
+    if n > 22:
+        out |= {"^" + token[:7], "$" + token[-7:], "-" + token[8:14], "-" + token[9:15]}
+    return out
+
+
 def grams(word: str) -> Counter:
     s = f"^{word}$"
     return Counter(s[i : i + GRAM] for i in range(max(1, len(s) - GRAM + 1)))
@@ -104,6 +119,14 @@ class Index:
         names = [[t for t, _ in tokens(fold(n))] for _, n in entries]
         self.words = {w for n in names for w in n}
         self.long = sorted(w for w in self.words if w not in LIGHT and len(w) > 2)
+        # what a word that is in no entry is looked up by: slips, and first with one of the last letters
+        self.slips: dict[str, list[str]] = defaultdict(list)
+        self.ends: dict[tuple[str, str], list[str]] = defaultdict(list)
+        for w in self.long:
+            for k in slip_keys(w):
+                self.slips[k].append(w)
+            for c in set(w[-4:]):
+                self.ends[w[0], c].append(w)
         held = Counter(g for n in names for g in {g for w in n for g in grams(w)})
         n = len(names)
         self.idf = {g: math.log(1 + n / k) for g, k in held.items()}
@@ -124,6 +147,16 @@ class Index:
     def _initials(name: list[str]) -> str:
         return "".join(w[0] for w in name if w not in LIGHT)
 
+    def starting(self, t: str) -> list[str]:
+        """Known longer words that start with ``t``."""
+        out = self.long[bisect_left(self.long, t) : bisect_left(self.long, t + "\U0010ffff")]
+        return [w for w in out if w != t]
+
+    def slipped(self, t: str) -> list[str]:
+        """Known words that ``t`` is by one slip, then by two (when both are long), each in their order."""
+        near = sorted({w for k in slip_keys(t) for w in self.slips.get(k, ())})
+        return [w for most in (1, 2) if len(t) > 3 * most for w in near if len(w) > 3 * most and one_slip(t, w, most)]
+
     def word(self, t: str, cut: bool) -> Counter:
         """The n-grams of a word as it weighs: a short form counts as the words it may stand for."""
         key = t + "." * cut
@@ -132,9 +165,10 @@ class Index:
             full = [t]
             part = 1.0
             if t not in self.words and t not in LIGHT and (len(t) > 1 or cut):
-                start = [w for w in self.long if w.startswith(t) and w != t] if cut else []
-                near = [] if start else [w for most in (1, 2) if len(t) > 3 * most for w in self.long if len(w) > 3 * most and one_slip(t, w, most)]
-                full = start or near[:1] or [w for w in self.long if short_for(t, w) and (len(w) - len(t) > 1 or cut)] or [t]
+                start = self.starting(t) if cut else []
+                near = [] if start else self.slipped(t)
+                short = [] if start or near else sorted({*self.starting(t), *(w for w in self.ends.get((t[0], t[-1]), ()) if short_for(t, w))})
+                full = start or near[:1] or [w for w in short if len(w) - len(t) > 1 or cut] or [t]
                 part = 0.97 if full != [t] else 1.0
             out: Counter = Counter()
             for w in full:

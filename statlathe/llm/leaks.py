@@ -218,7 +218,9 @@ def passage(item: list[int], doc: list[int], shift: int) -> tuple[int, int, int]
     runs.sort()
     score, back = [], []
     for x, (i, j, d) in enumerate(runs):
-        best, prev = j - i, -1
+        # where nothing before is worth its gap, the score starts anew, but the link back stays: a longer stretch with a
+        # worse score may count as well
+        best, prev, most = j - i, -1, None
         for y in range(x):
             a, b, e = runs[y]
             # runs on other diagonals may overlap; then the later one begins where the earlier ends
@@ -227,9 +229,9 @@ def passage(item: list[int], doc: list[int], shift: int) -> tuple[int, int, int]
                 continue
             gap = max(i + cut - b, i + cut + d - (b + e))
             got = score[y] + (j - i - cut) - 9 * gap
-            if got > best:
-                best, prev = got, y
-        score.append(best)
+            if most is None or got > most:
+                most, prev = got, y
+        score.append(best if most is None else max(best, most))
         back.append(prev)
     found = None
     for x in range(len(runs)):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statlathe.functions.text import is_blank
-from statlathe.llm.canon import fold, one_slip, short_for
+from statlathe.llm.canon import fold, one_slip, short_for, slip_keys
 from statlathe.plans.shared import drop_written, written
 
 GRAM = 3
@@ -158,19 +158,6 @@ def _grams(token: str) -> set[str]:
     return {s[i : i + GRAM] for i in range(len(s) - GRAM + 1)}
 
 
-def slip_keys(token: str) -> set[str]:
-    """Tokens that ``token_similarity`` takes for slips of each other share one of these: what is left of a token without
-    one of its letters (two where it is long). Of very long tokens, the first or last letters, or some between two slips."""
-    n, out = len(token), set()
-    if n > 3 and n <= 26:
-        out = {token} | {token[:i] + token[i + 1 :] for i in range(n)}
-        if n > 6:
-            out |= {w[:i] + w[i + 1 :] for w in list(out - {token}) for i in range(n - 1)}
-    if n > 22:
-        out |= {"^" + token[:7], "$" + token[-7:], "-" + token[8:14], "-" + token[9:15]}
-    return out
-
-
 def _band_keys(n_bands: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
