@@ -90,3 +90,17 @@ def first_token_probability(tokens: Column) -> Column:
     t, f = side("true"), side("false")
     p = F.when(t.isNotNull() & f.isNotNull(), t / (t + f)).when(f.isNotNull(), 1 - f).otherwise(t)
     return F.when(p.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)))
+
+
+def token_logsumexp(tokens: Column, word: str) -> Column:
+    """The log of the summed probabilities of the first tokens that are ``word`` once quotes, dots and underscores around
+    them are left out, from a map of tokens to log probabilities; NULL where there is none."""
+    bare = lambda t: F.lower(F.regexp_replace(F.trim(t), "^[\"'._]+|[\"'._]+$", ""))
+    mine = F.transform(F.filter(F.map_entries(tokens), lambda e: bare(e.key) == word), lambda e: e.value)
+    top = F.array_max(mine)
+    return F.when(F.size(mine) > 0, top + F.ln(F.aggregate(mine, F.lit(0.0), lambda a, x: a + F.exp(x - top))))
+
+
+def as_int(c: Column, default: int = 0) -> Column:
+    """A number as text or double, rounded half to even; ``default`` for what is no number."""
+    return F.coalesce(F.bround(F.expr("1D") * c.try_cast("double")).try_cast("long"), F.lit(default))

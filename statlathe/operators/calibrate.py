@@ -177,9 +177,11 @@ def calibrated_evaluation(val: DataFrame, test: DataFrame, objective: str = "bal
     return metric_bundle(scored), fit | {"threshold": tuned.threshold, "objective": objective, "objective_value": tuned.value}
 
 
-def save_artifact(path: str, model: str, elicitation: str, fit: dict) -> None:
+def save_artifact(path: str, model: str, elicitation: str, fit: dict, fitted_on: str = "val") -> None:
     """A decision artifact as JSON with sorted keys and no time, so equal fits give equal bytes."""
-    body = {"model": model, "elicitation": elicitation, "schema": ARTIFACT_SCHEMA, **fit}
+    params = {k: fit[k] for k in ("method", "T", "A", "B", "selected_by", "val_nll") if k in fit}
+    kept = {k: fit[k] for k in ("candidate_val_nll", "n_val", "nll_diff_ci", "objective", "threshold") if k in fit}
+    body = {"calibrator": params, "elicitation": elicitation, "fitted_on": fitted_on, "model": model, "schema": ARTIFACT_SCHEMA, "selected_by": fit.get("selected_by"), **kept}
     with open(path, "w") as out:
         json.dump(body, out, sort_keys=True, indent=2)
 
@@ -191,4 +193,33 @@ def load_artifact(path: str, model: str, elicitation: str) -> dict:
         raise ArtifactError(f"schema {body.get('schema')} instead of {ARTIFACT_SCHEMA}")
     if (body.get("model"), body.get("elicitation")) != (model, elicitation):
         raise ArtifactError("the artifact is for another model or elicitation")
-    return body
+    return body | body["calibrator"]
+
+
+_FIT = "model string, elicitation string, schema int, calibrator struct<method: string, T: double, A: double, B: double, selected_by: string, val_nll: double>, threshold double, objective string, n_val long"
+
+
+def registry(spark, folder: str) -> DataFrame:
+    """All decision artifacts of a folder (``*.json``), one row each with the file's name. A schema that isn't the one
+    written here, or two artifacts for one model and elicitation, are an error."""
+    found = spark.read.schema(_FIT).option("multiLine", True).json(folder.rstrip("/") + "/*.json").withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    wrong = found.where(~F.col("schema").eqNullSafe(F.lit(ARTIFACT_SCHEMA))).limit(1).collect()
+    if wrong:
+        raise ArtifactError(f"{wrong[0].file}: schema {wrong[0].schema} instead of {ARTIFACT_SCHEMA}")
+    double = found.groupBy("model", "elicitation").count().where("count > 1").limit(1).collect()
+    if double:
+        raise ArtifactError(f"several artifacts for {double[0].model}, {double[0].elicitation}")
+    return found
+
+
+def lookup(scores: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """``scores(model, elicitation, p, ...)`` with ``p_calibrated`` and ``pred`` by the artifact of their model and
+    elicitation; scores without one are an error. Artifacts are files of one folder, so they are few."""
+    missing = scores.select("model", "elicitation").distinct().join(artifacts, ["model", "elicitation"], "left_anti").limit(1).collect()
+    if missing:
+        raise ArtifactError(f"no artifact for {missing[0].model}, {missing[0].elicitation}")
+    c = F.col("calibrator")
+    z = logit(F.col("p"))
+    p = F.when(c.method == "temperature", sigmoid(z / c["T"])).when(c.method == "platt", sigmoid(c["A"] * z + c["B"]))
+    out = scores.join(artifacts.select("model", "elicitation", "calibrator", "threshold"), ["model", "elicitation"])
+    return out.withColumn("p_calibrated", p).withColumn("pred", (F.col("p_calibrated") >= F.col("threshold")).cast("int")).drop("calibrator", "threshold")

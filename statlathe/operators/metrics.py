@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statlathe.plans.prefix import quantiles, running_totals
+from statlathe.plans.shared import written
 
 BINS = 10
 
@@ -100,10 +101,17 @@ def ece_quantile(hist: DataFrame, by: str = "model_name", n_bins: int = BINS) ->
     return _ece(binned, by).join(F.broadcast(realised), by)
 
 
+BUNDLE = ["accuracy", "balanced_accuracy", "macro_f1", "precision_true", "recall_true", "precision_false", "recall_false", "roc_auc", "pr_auc", "brier", "ece"]
+
+
 def metric_bundle(df: DataFrame, by: str = "model_name") -> DataFrame:
-    """The eleven metrics of each group, from the histogram and the confusion counts."""
-    hist = histogram(df, by)
-    out = class_metrics(confusion(df, by), by).join(ranking(hist, by), by).join(brier(hist, by), by)
+    """The eleven metrics of each group. Rows are read once: all metrics come from the counts of each score and
+    prediction, a table in the shared folder."""
+    cells = written(df.groupBy(by, "p", "pred").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"), F.count("*").alias("n")))
+    hist = cells.groupBy(by, "p").agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "n")])
+    hit = lambda c, q: F.sum(F.when(F.col("pred") == q, F.col(c)).otherwise(0))
+    counts = cells.groupBy(by).agg(hit("pos", 1).alias("tp"), hit("neg", 0).alias("tn"), hit("neg", 1).alias("fp"), hit("pos", 0).alias("fn"))
+    out = class_metrics(counts, by).join(ranking(hist, by), by).join(brier(hist, by), by)
     return out.join(ece_quantile(hist, by).select(by, "ece"), by)
 
 
@@ -125,8 +133,8 @@ def binomial_two_sided(b: int, c: int) -> float:
 
 def mcnemar(pairs: DataFrame) -> DataFrame:
     """Discordant counts of ``(y, pred_a, pred_b)``: b (only a right), c (only b right), the chi-square with continuity
-    correction (0 when b = c) and the exact p-value."""
+    correction (0 when b = c) with its p-value, and the exact p-value."""
     a, b = F.col("pred_a") == F.col("y"), F.col("pred_b") == F.col("y")
     r = pairs.agg(F.count_if(a & ~b).alias("b"), F.count_if(~a & b).alias("c"), F.count_if(a & b).alias("both"), F.count_if(~a & ~b).alias("neither")).first()
     chi = 0.0 if r.b == r.c else (abs(r.b - r.c) - 1) ** 2 / (r.b + r.c)
-    return pairs.sparkSession.createDataFrame([(r.b, r.c, r.both, r.neither, round(chi, 6), binomial_two_sided(r.b, r.c))], "b long, c long, both long, neither long, chi2 double, p_value double")
+    return pairs.sparkSession.createDataFrame([(r.b, r.c, r.both, r.neither, round(chi, 6), math.erfc(math.sqrt(chi / 2)), binomial_two_sided(r.b, r.c))], "b long, c long, both long, neither long, chi2 double, chi2_p double, p_value double")

@@ -31,6 +31,18 @@ def contradictory_keys(df: DataFrame) -> DataFrame:
     return df.groupBy("norm_key").agg(F.min("y").alias("lo"), F.max("y").alias("hi"), F.min("row_id").alias("first_id"), F.count("*").alias("n")).where("lo <> hi")
 
 
+def contradiction_members(df: DataFrame) -> DataFrame:
+    """``(norm_key, first_id, row_id, y)``: every row of a contradictory key, one row each, so that no group is gathered."""
+    return df.join(contradictory_keys(df).select("norm_key", "first_id"), "norm_key").select("norm_key", "first_id", "row_id", "y")
+
+
+def coerce_labels(label: Column, scheme: str = "primary") -> Column:
+    """0 or 1 of labels typed as '0', '1' or one of the six; anything else (NULL and booleans too) is an error."""
+    low = F.lower(F.trim(label.cast("string")))
+    y = F.when(low.isin("0", "1"), low.cast("int")).otherwise(binarize(label.cast("string"), scheme))
+    return F.coalesce(y, F.raise_error(F.concat(F.lit("neither 0, 1 nor a known label: "), F.coalesce(label.cast("string"), F.lit("NULL")))).cast("int"))
+
+
 def clean_dataset(df: DataFrame) -> DataFrame:
     """``df`` without the rows of contradictory keys; an anti join on keys, no group is gathered."""
     return df.join(contradictory_keys(df).select("norm_key"), "norm_key", "left_anti")
@@ -76,6 +88,32 @@ def length_buckets(df: DataFrame, text: str) -> DataFrame:
     return df.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.min(wc).alias("shortest"), F.max(wc).alias("longest"))
 
 
+def length_stats(df: DataFrame, text: str) -> DataFrame:
+    """Shortest, mean and longest word count and interpolated percentiles; word counts are few, so their counts are too."""
+    wc = word_count(F.col(text))
+    at = [0.5, 0.9, 0.95, 0.99]
+    one = df.select(wc.alias("wc")).agg(F.min("wc").alias("shortest"), F.avg("wc").alias("mean"), F.max("wc").alias("longest"), F.percentile("wc", F.array(*[F.lit(q) for q in at])).alias("q"))
+    return one.select("shortest", F.round("mean", 6).alias("mean"), "longest", *[F.round(F.col("q")[i], 6).alias(f"p{int(q * 100)}") for i, q in enumerate(at)])
+
+
+def class_ratio(df: DataFrame) -> DataFrame:
+    """The number of true labels for each false one; NULL without false ones."""
+    return df.agg(F.round(F.try_divide(F.sum("y").cast("double"), F.sum(1 - F.col("y"))), 6).alias("ratio"))
+
+
+def value_totals(df: DataFrame, column: str, k: int) -> DataFrame:
+    """Rows with a value, distinct values, and the share of rows that the ``k`` commonest hold."""
+    g = df.where(~is_blank(F.col(column))).groupBy(column).agg(F.count("*").alias("n"))
+    top = g.orderBy(F.desc("n")).limit(k).agg(F.sum("n").alias("top"))
+    return g.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count("*").alias("n_values")).crossJoin(F.broadcast(top)).select("n_rows", "n_values", F.round(F.try_divide(F.col("top").cast("double"), F.col("n_rows")), 6).alias("top_share"))
+
+
+def split_info(df: DataFrame, split: str = "split_name") -> DataFrame:
+    """Rows and class balance of each split of ``df(y, <split>)``."""
+    g = df.groupBy(F.col(split).alias("split")).agg(F.count("*").alias("n"), F.sum("y").alias("n_true"), F.sum(1 - F.col("y")).alias("n_false"), F.round(F.avg("y"), 6).alias("fraction_true"))
+    return g.where("split is not null and split <> ''")
+
+
 def repeats(df: DataFrame) -> DataFrame:
     """Rows that repeat an earlier one, by stored statement and by key."""
     exact = df.groupBy("statement").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") - 1).alias("exact_repeats"))

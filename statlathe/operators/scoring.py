@@ -85,6 +85,42 @@ def cache_entries(df: DataFrame, schema_no: int) -> DataFrame:
     return ok.withColumn("_k", F.row_number().over(w)).where("_k = 1").select("cache_key", "row_id", "call_kind", "model_name", "response_text", parse_score(F.col("response_text")).alias("score"))
 
 
+class IncompleteReplay(RuntimeError):
+    """Responses are missing from a cache that a record is made from."""
+
+
+def replay(requests: DataFrame, cache: DataFrame) -> DataFrame:
+    """``requests(cache_key, ...)`` with ``response_text`` and ``hit``: what a cache answers, and whether it does."""
+    known = cache.select("cache_key", "response_text", F.lit(True).alias("_hit"))
+    return requests.join(known, "cache_key", "left").withColumn("hit", F.coalesce("_hit", F.lit(False))).drop("_hit")
+
+
+def misses(requests: DataFrame, cache: DataFrame) -> DataFrame:
+    """Requests that still have to be made, each once."""
+    return requests.dropDuplicates(["cache_key"]).join(cache.select("cache_key"), "cache_key", "left_anti")
+
+
+def assert_complete(replayed: DataFrame, stage: str) -> DataFrame:
+    """``replayed``, or an error with the number of missing responses."""
+    n = replayed.where("not hit").count()
+    if n:
+        raise IncompleteReplay(f"{n} responses missing while computing {stage}")
+    return replayed
+
+
+def migration_plan(requests: DataFrame, cache: DataFrame) -> DataFrame:
+    """``(cache_key, disposition)`` for every cached key, by the requests ``(cache_key, backend, call_kind)`` that can have
+    made it: dropped when its response is empty or nothing makes it, in quarantine when two backends make it or when a
+    classification did, else migrated."""
+    by = requests.groupBy("cache_key").agg(F.countDistinct("backend").alias("backends"), F.max((F.col("call_kind") == "classify").cast("int")).alias("classified"))
+    one = cache.groupBy("cache_key").agg(F.max("response_text").alias("response_text"))
+    what = (
+        F.when(F.col("backends").isNull(), "drop_unreachable").when(F.coalesce("response_text", F.lit("")) == "", "drop_empty")
+        .when(F.col("backends") > 1, "quarantine_backends").when(F.col("classified") == 1, "quarantine_classify").otherwise("migrate")
+    )
+    return one.join(by, "cache_key", "left").select("cache_key", what.alias("disposition"))
+
+
 def request_key(*parts: Column) -> Column:
     return F.sha2(F.to_json(F.struct(*[p.cast("string").alias(f"p{i}") for i, p in enumerate(parts)]), {"ignoreNullFields": "false"}), 256)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statlathe.functions import text as tx
-from statlathe.operators import calibrate, explain, metrics, packed, pool, quality, resample, retrieve, scoring, split, threshold
+from statlathe.operators import calibrate, explain, metrics, packed, pool, quality, report, resample, retrieve, scoring, split, threshold
 from statlathe.plans.shared import written
 from statlathe.sources import files
 
@@ -60,6 +60,10 @@ BLANK = "regexp_replace(coalesce({0}, ''), '[\\s\\x{{1C}}-\\x{{1F}}\\x{{85}}\\x{
 SQUEEZE = "trim(regexp_replace(coalesce({0}, ''), '[\\s\\x{{1C}}-\\x{{1F}}\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+', ' ', 'g'))"
 
 
+def _binary(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "statements").withColumn("y", quality.binarize(F.col("label"))).where("y is not null")
+
+
 def _lab(spark: SparkSession, folder: str) -> DataFrame:
     return quality.labelled(table(spark, folder, "statements"))
 
@@ -121,15 +125,16 @@ def subject_lists(spark: SparkSession, folder: str) -> DataFrame:
 
 def _sql_prompt(mode: str, variant: str) -> str:
     unknown = lambda c: f"coalesce(nullif(trim({c}), ''), '[unknown]')"
-    lines = [f"'{label}: ' || {unknown(f'array_to_string({_SUBJECTS}, chr(44) || chr(32))') if c == 'subjects' else unknown(c)}" for label, c in files.LINES]
-    parts = ["'Statement: ' || coalesce(nullif(statement_clean, ''), statement)", *(lines if variant == "full" else []), f"'{files.QUESTION[mode]}'"]
-    return "concat_ws(chr(10), " + ", ".join(parts) + ")"
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    lines = [f"{quoted(label + ': ')} || {unknown(f'array_to_string({_SUBJECTS}, chr(44) || chr(32))') if c == 'subjects' else unknown(c)}" for label, c in files.LINES]
+    parts = [*(lines if variant == "full" else []), "'Statement: ' || coalesce(nullif(statement_clean, ''), statement)"]
+    return "concat_ws(chr(10), " + ", ".join(parts) + f") || chr(10) || chr(10) || {quoted(files.CUES[mode])}"
 
 
 @register(f"SELECT row_id, {_sql_prompt('decision', 'full')} AS prompt FROM statements")
 def prompts_full(spark: SparkSession, folder: str) -> DataFrame:
     d = table(spark, folder, "statements")
-    return d.select("row_id", files.user_prompt(d).alias("prompt"))
+    return d.select("row_id", files.user_prompt(d, "full", "decision").alias("prompt"))
 
 
 @register(f"SELECT row_id, {_sql_prompt('score', 'statement_only')} AS prompt FROM statements")
@@ -138,7 +143,27 @@ def prompts_statement_only(spark: SparkSession, folder: str) -> DataFrame:
     return d.select("row_id", files.user_prompt(d, "statement_only", "score").alias("prompt"))
 
 
-@register()
+def _sql_text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+@register(f"SELECT row_id, {_sql_text(files.SYSTEM['rationale'])} AS system_text, {_sql_prompt('rationale', 'full')} AS user_text FROM statements")
+def messages(spark: SparkSession, folder: str) -> DataFrame:
+    d = table(spark, folder, "statements")
+    turns = files.contents(files.messages(d, "full", "rationale"))
+    return d.select("row_id", turns.alias("t")).select("row_id", F.col("t.system").alias("system_text"), F.col("t.contents")[0].parts[0].text.alias("user_text"))
+
+
+@register(f"SELECT feed, sum(ceil(length({_sql_text(files.SYSTEM['score'] + chr(10))} || {_sql_prompt('score', 'full')}) / 4.0))::BIGINT AS tokens FROM statements GROUP BY feed")
+def rendered_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    d = table(spark, folder, "statements")
+    return d.groupBy("feed").agg(F.sum(scoring.estimated_tokens(files.render(d))).alias("tokens"))
+
+
+@register(
+    f"WITH {LAB} SELECT row_id, '{{\"contents\":[{{\"role\":\"user\",\"parts\":[{{\"text\":' || to_json({_sql_text(files.SYSTEM['decision'] + chr(10) * 2)} || {_sql_prompt('decision', 'full')})::VARCHAR"
+    " || '}]},{\"role\":\"model\",\"parts\":[{\"text\":\"' || CASE WHEN y = 1 THEN 'True' ELSE 'False' END || '\"}]}]}' AS record FROM lab WHERE split_name = 'train'"
+)
 def training_records(spark: SparkSession, folder: str) -> DataFrame:
     return files.training_records(_lab(spark, folder).where("split_name = 'train'"))
 
@@ -163,6 +188,45 @@ def contradiction_groups(spark: SparkSession, folder: str) -> DataFrame:
     return quality.contradictory_keys(_lab(spark, folder)).select("norm_key", "first_id", "n")
 
 
+@register("SELECT row_id, round(CASE WHEN row_id % 3 = 0 THEN ln(exp(-0.1 * (1 + row_id % 11)) + exp(-0.2 * (1 + row_id % 7))) WHEN row_id % 3 = 1 THEN -0.1 * (1 + row_id % 11) END, 9) AS log_true FROM statements")
+def token_logsumexp(spark: SparkSession, folder: str) -> DataFrame:
+    a, b, r = -0.1 * (1 + F.col("row_id") % 11), -0.2 * (1 + F.col("row_id") % 7), F.col("row_id") % 3
+    m = F.when(r == 0, F.create_map(F.lit(" True"), a, F.lit("'true'."), b)).when(r == 1, F.create_map(F.lit("TRUE"), a, F.lit("truely"), b)).otherwise(F.create_map(F.lit("false"), a))
+    return table(spark, folder, "statements").select("row_id", F.round(tx.token_logsumexp(m, "true"), 9).alias("log_true"))
+
+
+@register(f"WITH {LAB}, bad AS (SELECT norm_key, min(row_id) AS first_id FROM lab GROUP BY norm_key HAVING min(y) <> max(y)) SELECT norm_key, first_id, row_id, y FROM lab JOIN bad USING (norm_key)")
+def contradiction_members(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.contradiction_members(_lab(spark, folder))
+
+
+@register(f"WITH l AS (SELECT row_id, {_sql_binarize('sensitivity')} AS y FROM statements) SELECT row_id, y FROM l WHERE y IS NOT NULL")
+def coerced_labels(spark: SparkSession, folder: str) -> DataFrame:
+    d = table(spark, folder, "statements").where(F.lower(F.trim("label")).isin(quality.LABELS))
+    return d.select("row_id", quality.coerce_labels(F.col("label"), "sensitivity").alias("y"))
+
+
+@register(f"WITH l AS (SELECT {_sql_binarize('primary')} AS y FROM statements) SELECT round(sum(y) / sum(1 - y)::DOUBLE, 6) AS ratio FROM l WHERE y IS NOT NULL")
+def class_ratio(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.class_ratio(_binary(spark, folder))
+
+
+@register(f"WITH l AS (SELECT split_name, {_sql_binarize('primary')} AS y FROM statements) SELECT split_name AS split, count(*) AS n, sum(y)::BIGINT AS n_true, sum(1 - y)::BIGINT AS n_false, round(avg(y), 6) AS fraction_true FROM l WHERE y IS NOT NULL AND split_name <> '' GROUP BY 1")
+def split_info(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.split_info(_binary(spark, folder))
+
+
+@register(f"WITH l AS (SELECT feed, {_sql_binarize('primary')} AS y FROM statements) SELECT feed AS value, count(*) AS n, round(1 - avg(y), 6) AS false_rate FROM l WHERE y IS NOT NULL GROUP BY 1")
+def false_rate_by_feed(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.rate_by(_binary(spark, folder), "feed", 1).select("value", "n", F.round(1 - F.col("true_rate"), 6).alias("false_rate"))
+
+
+@register("SELECT row_id, statement, NULL::VARCHAR AS label, NULL::INT AS y FROM statements WHERE split_name = 'test'")
+def masked_rows(spark: SparkSession, folder: str) -> DataFrame:
+    d = table(spark, folder, "statements").where("split_name = 'test'").withColumn("y", quality.binarize(F.col("label")))
+    return files.public_row(d, include_labels=False, include_metadata=False)
+
+
 @register(f"WITH {LAB} SELECT row_id, y FROM lab WHERE norm_key NOT IN (SELECT norm_key FROM lab GROUP BY norm_key HAVING min(y) <> max(y))")
 def clean_dataset(spark: SparkSession, folder: str) -> DataFrame:
     return quality.clean_dataset(_lab(spark, folder)).select("row_id", "y")
@@ -216,6 +280,16 @@ def length_buckets(spark: SparkSession, folder: str) -> DataFrame:
     return quality.length_buckets(table(spark, folder, "statements"), "statement")
 
 
+@register(f"WITH w AS (SELECT {_WC} AS wc FROM statements) SELECT min(wc) AS shortest, round(avg(wc), 6) AS mean, max(wc) AS longest, " + ", ".join(f"round(quantile_cont(wc, {q}), 6) AS p{int(q * 100)}" for q in (0.5, 0.9, 0.95, 0.99)) + " FROM w")
+def length_stats(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.length_stats(table(spark, folder, "statements"), "statement")
+
+
+@register(f"WITH g AS (SELECT count(*) AS n FROM statements WHERE NOT ({BLANK.format('speaker_name')}) GROUP BY speaker_name) SELECT sum(n)::BIGINT AS n_rows, count(*) AS n_values, round((SELECT sum(n) FROM (SELECT n FROM g ORDER BY n DESC LIMIT 20)) / sum(n)::DOUBLE, 6) AS top_share FROM g")
+def speaker_totals(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.value_totals(table(spark, folder, "statements"), "speaker_name", 20)
+
+
 @register("SELECT (SELECT count(*) - count(DISTINCT statement) FROM statements) AS exact_repeats, (SELECT sum(n - 1)::BIGINT FROM (SELECT count(*) AS n FROM statements WHERE trim(norm_key) <> '' GROUP BY norm_key)) AS key_repeats, (SELECT count(*) FROM (SELECT 1 FROM statements WHERE trim(norm_key) <> '' GROUP BY norm_key HAVING count(*) > 1)) AS repeated_keys")
 def repeat_stats(spark: SparkSession, folder: str) -> DataFrame:
     return quality.repeats(table(spark, folder, "statements"))
@@ -293,18 +367,26 @@ def ece_uniform(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.ece_uniform(_hist(spark, folder)).select("model_name", F.round("ece", 6).alias("ece"), "occupied")
 
 
-@register(
-    f"WITH {CONF}, q AS (SELECT model_name, list_sort(list_distinct(quantile_cont(conf, [" + ", ".join(str(i / 10) for i in range(11)) + "]))) AS edges FROM conf GROUP BY model_name),"
-    f" b AS (SELECT c.*, len(list_filter(q.edges[2:len(q.edges) - 1], lambda e: e <= c.conf)) AS bin FROM conf c JOIN q ON c.model_name = q.model_name) {_ECE}"
+_QBINS = (
+    "x AS (SELECT 1), conf AS (SELECT model_name, CASE WHEN p >= 0.5 THEN p ELSE 1 - p END AS conf, CASE WHEN (p >= 0.5) = (y = 1) THEN 1 ELSE 0 END AS hit FROM scored),"
+    " q AS (SELECT model_name, list_sort(list_distinct(quantile_cont(conf, [" + ", ".join(str(i / 10) for i in range(11)) + "]))) AS edges FROM conf GROUP BY model_name),"
+    " b AS (SELECT c.*, len(list_filter(q.edges[2:len(q.edges) - 1], lambda e: e <= c.conf)) AS bin, greatest(len(q.edges) - 1, 1) AS realised FROM conf c JOIN q ON c.model_name = q.model_name)"
 )
+
+
+@register(f"WITH {SCORED}, {_QBINS}, ec AS ({_ECE}) SELECT ec.*, r.realised, 10 AS requested FROM ec JOIN (SELECT DISTINCT model_name, realised::INT AS realised FROM b) r USING (model_name)")
 def ece_quantile(spark: SparkSession, folder: str) -> DataFrame:
-    return metrics.ece_quantile(_hist(spark, folder)).select("model_name", F.round("ece", 6).alias("ece"), "occupied")
+    return metrics.ece_quantile(_hist(spark, folder)).select("model_name", F.round("ece", 6).alias("ece"), "occupied", "realised", F.lit(metrics.BINS).alias("requested"))
 
 
-@register(f"WITH {_RANK}, cm AS (SELECT model_name, count(*) FILTER (y = 1 AND pred = 1) AS tp, count(*) FILTER (y = 0 AND pred = 0) AS tn, count(*) FILTER (y = 0 AND pred = 1) AS fp, count(*) FILTER (y = 1 AND pred = 0) AS fn, avg((p - y) * (p - y)) AS brier FROM scored GROUP BY model_name) SELECT model_name, round((tp + tn) / (tp + tn + fp + fn)::DOUBLE, 6) AS accuracy, round({BALANCED}, 6) AS balanced_accuracy, round({MACRO}, 6) AS macro_f1, round(roc_auc, 6) AS roc_auc, round(pr_auc, 6) AS pr_auc, round(brier, 6) AS brier FROM cm JOIN rk USING (model_name)")
+@register(f"WITH {SCORED} SELECT model_name, round(avg(-(y * ln(greatest(1e-12, least(1 - 1e-12, p))) + (1 - y) * ln(1 - greatest(1e-12, least(1 - 1e-12, p))))), 6) AS log_loss FROM scored GROUP BY model_name")
+def log_loss(spark: SparkSession, folder: str) -> DataFrame:
+    return _scored(spark, folder).groupBy("model_name").agg(F.round(F.avg(metrics.log_loss(F.col("p"), F.col("y"))), 6).alias("log_loss"))
+
+
+@register(f"WITH {_RANK}, cm AS (SELECT model_name, count(*) FILTER (y = 1 AND pred = 1) AS tp, count(*) FILTER (y = 0 AND pred = 0) AS tn, count(*) FILTER (y = 0 AND pred = 1) AS fp, count(*) FILTER (y = 1 AND pred = 0) AS fn, avg((p - y) * (p - y)) AS brier FROM scored GROUP BY model_name), {_QBINS.split(', ', 1)[1]}, ec AS ({_ECE}) SELECT model_name, round((tp + tn) / (tp + tn + fp + fn)::DOUBLE, 6) AS accuracy, round({BALANCED}, 6) AS balanced_accuracy, round({MACRO}, 6) AS macro_f1, round(tp / nullif(tp + fp, 0)::DOUBLE, 6) AS precision_true, round(tp / nullif(tp + fn, 0)::DOUBLE, 6) AS recall_true, round(tn / nullif(tn + fn, 0)::DOUBLE, 6) AS precision_false, round(tn / nullif(tn + fp, 0)::DOUBLE, 6) AS recall_false, round(roc_auc, 6) AS roc_auc, round(pr_auc, 6) AS pr_auc, round(brier, 6) AS brier, ece FROM cm JOIN rk USING (model_name) JOIN ec USING (model_name)")
 def metric_bundle(spark: SparkSession, folder: str) -> DataFrame:
-    keep = ["accuracy", "balanced_accuracy", "macro_f1", "roc_auc", "pr_auc", "brier"]
-    return metrics.metric_bundle(_scored(spark, folder)).select("model_name", *[F.round(c, 6).alias(c) for c in keep])
+    return metrics.metric_bundle(_scored(spark, folder)).select("model_name", *[F.round(c, 6).alias(c) for c in metrics.BUNDLE])
 
 
 @register(f"WITH {SCORED}, g AS (SELECT model_name, avg(y) AS base, avg((pred = y)::INT) AS acc FROM scored GROUP BY model_name) SELECT model_name, (base >= 0.5)::INT AS majority, round(greatest(base, 1 - base), 6) AS baseline, round(acc - greatest(base, 1 - base), 6) AS delta FROM g")
@@ -362,9 +444,38 @@ def coverage_curve(spark: SparkSession, folder: str) -> DataFrame:
     return threshold.coverage_curve(_scored(spark, folder))
 
 
-@register(f"WITH {_CURVE} SELECT model_name, min(coverage) AS coverage, arg_min(accuracy, coverage) AS accuracy FROM cv WHERE coverage >= 0.8 GROUP BY model_name")
+@register(
+    f"WITH {SCORED}, o AS (SELECT model_name, ((p >= 0.5)::INT = y)::INT AS hit, row_number() OVER (PARTITION BY model_name ORDER BY round(abs(p - 0.5), 12) DESC, row_id) AS k, count(*) OVER (PARTITION BY model_name) AS n FROM scored)"
+    " SELECT model_name, max(greatest(1, least(n, round_even(n * 0.8, 0)::BIGINT))) AS n_rows, round(avg(hit), 9) AS accuracy FROM o WHERE k <= greatest(1, least(n, round_even(n * 0.8, 0)::BIGINT)) GROUP BY model_name"
+)
 def accuracy_at_coverage(spark: SparkSession, folder: str) -> DataFrame:
-    return threshold.accuracy_at(threshold.coverage_curve(_scored(spark, folder)), 0.8)
+    return threshold.accuracy_at(_scored(spark, folder), 0.8)
+
+
+GRID = [i / 20 for i in range(21)]
+
+
+@register(f"WITH {SCORED}, g AS (SELECT model_name, t AS threshold, count(*) FILTER (y = 1 AND p >= t) AS tp, count(*) FILTER (y = 0 AND p >= t) AS fp, count(*) FILTER (y = 1 AND p < t) AS fn, count(*) FILTER (y = 0 AND p < t) AS tn FROM scored, (SELECT unnest({GRID})::DOUBLE AS t) GROUP BY 1, 2), o AS (SELECT *, round({MACRO}, 9) AS value FROM g) SELECT model_name, threshold, value FROM (SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY value DESC, threshold) AS k FROM o) WHERE k = 1")
+def tune_threshold_grid(spark: SparkSession, folder: str) -> DataFrame:
+    return threshold.tune_threshold(threshold.check_classes(_hist(spark, folder)), "macro_f1", grid=GRID)
+
+
+_SETTING = "round((tp + tn) / (tp + tn + fp + fn)::DOUBLE, 3) AS acc, round({0}, 3) AS bal_acc, round({1}, 3) AS macro_f1, round(tp / nullif(tp + fn, 0)::DOUBLE, 3) AS rec_true, round(tn / nullif(tn + fp, 0)::DOUBLE, 3) AS rec_false".format(BALANCED, MACRO)
+
+
+@register(
+    f"WITH {SCORED}, one AS (SELECT * FROM scored WHERE model_name = 'base-logprob'), vh AS (SELECT p, sum(y) AS pos, sum(1 - y) AS neg FROM one WHERE split_name = 'val' GROUP BY p), vp AS (SELECT p AS threshold, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER () - sum(pos) OVER w AS fn, sum(neg) OVER () - sum(neg) OVER w AS tn FROM vh WINDOW w AS (ORDER BY p DESC)),"
+    f" st AS (SELECT 'default' AS setting, 0.5::DOUBLE AS threshold UNION ALL (SELECT 'balanced', threshold FROM vp ORDER BY round({BALANCED}, 9) DESC, threshold LIMIT 1) UNION ALL (SELECT 'macro_f1', threshold FROM vp ORDER BY round({MACRO}, 9) DESC, threshold LIMIT 1) UNION ALL (SELECT 'cost', threshold FROM vp ORDER BY 1.0::DOUBLE * fn + 2.0::DOUBLE * fp, threshold LIMIT 1)),"
+    " c AS (SELECT setting, threshold, count(*) FILTER (y = 1 AND p >= threshold) AS tp, count(*) FILTER (y = 0 AND p >= threshold) AS fp, count(*) FILTER (y = 1 AND p < threshold) AS fn, count(*) FILTER (y = 0 AND p < threshold) AS tn FROM one, st WHERE split_name = 'test' GROUP BY 1, 2)"
+    f" SELECT setting, round(threshold, 3) AS threshold, {_SETTING}, fn, fp FROM c"
+)
+def threshold_table(spark: SparkSession, folder: str) -> DataFrame:
+    return report.threshold_table(_one(spark, folder, "val"), _one(spark, folder, "test"), 1.0, 2.0)
+
+
+@register(f"WITH {CONFUSION} SELECT c.model_name AS model, tp + tn + fp + fn AS n, round((tp + tn) / (tp + tn + fp + fn)::DOUBLE, 3) AS acc, round({BALANCED}, 3) AS bal_acc, round({MACRO}, 3) AS macro_f1, round(b.brier, 3) AS brier FROM c JOIN (SELECT model_name, avg((p - y) * (p - y)) AS brier FROM scored GROUP BY 1) b ON b.model_name = c.model_name")
+def run_table(spark: SparkSession, folder: str) -> DataFrame:
+    return report.run_table(_scored(spark, folder))
 
 
 # --- calibration
@@ -385,13 +496,13 @@ def _one(spark: SparkSession, folder: str, part: str | None = None) -> DataFrame
 
 @register()
 def fit_temperature(spark: SparkSession, folder: str) -> DataFrame:
-    fit = calibrate.fit_temperature(written(metrics.histogram(_one(spark, folder))))
+    fit = calibrate.fit_temperature(written(metrics.histogram(_one(spark, folder, "val"))))
     return spark.createDataFrame([(round(fit["T"], 6), round(fit["nll"], 6))], "T double, nll double")
 
 
 @register()
 def fit_platt(spark: SparkSession, folder: str) -> DataFrame:
-    fit = calibrate.fit_platt(written(metrics.histogram(_one(spark, folder))))
+    fit = calibrate.fit_platt(written(metrics.histogram(_one(spark, folder, "val"))))
     return spark.createDataFrame([(round(fit["A"], 6), round(fit["B"], 6), round(fit["nll"], 6))], "A double, B double, nll double")
 
 
@@ -414,6 +525,24 @@ def paired_accuracy_diff(spark: SparkSession, folder: str) -> DataFrame:
     return resample.paired_accuracy_diff(_pairs(spark, folder))
 
 
+@register()
+def ece_block(spark: SparkSession, folder: str) -> DataFrame:
+    return report.ece_block(_scored(spark, folder))
+
+
+@register()
+def ece_difference(spark: SparkSession, folder: str) -> DataFrame:
+    d = _pairs(spark, folder).select("y", "p_a", "p_b")
+    return resample.ece_difference(d).select(*[F.round(c, 6).alias(c) for c in ("ece_a", "ece_b", "difference", "lo", "hi")], "significant")
+
+
+@register()
+def calibration_effect(spark: SparkSession, folder: str) -> DataFrame:
+    fit = calibrate.fit_platt(written(metrics.histogram(_one(spark, folder, "val"))))
+    d = _one(spark, folder, "test").select("y", F.col("p").alias("p_a"), calibrate.apply(F.col("p"), fit).alias("p_b"))
+    return resample.ece_difference(d).select(*[F.round(c, 6).alias(c) for c in ("ece_a", "ece_b", "difference", "lo", "hi")], "significant")
+
+
 # --- pooling and verdicts
 
 
@@ -441,9 +570,36 @@ def verify_summary(spark: SparkSession, folder: str) -> DataFrame:
     return pool.run_summary(pool.reconcile(*_sources(spark, folder), w=0.6))
 
 
+@register("SELECT p.row_id, CASE WHEN t.row_id IS NOT NULL AND t.prob IS NULL THEN 'unavailable' WHEN t.row_id IS NOT NULL THEN 'ok' ELSE 'not_returned' END AS status, CASE WHEN t.prob IS NOT NULL THEN round_even(t.prob, 6) END AS probability, CASE WHEN t.prob IS NOT NULL THEN (t.prob >= 0.5)::INT END AS prediction FROM (SELECT DISTINCT row_id FROM statements WHERE split_name IN ('val', 'test')) p LEFT JOIN stored_scores t ON p.row_id = t.row_id")
+def source_results(spark: SparkSession, folder: str) -> DataFrame:
+    points, _, _ = _sources(spark, folder)
+    s = table(spark, folder, "stored_scores").select("row_id", "prob", (F.col("prob") >= 0.5).cast("int").alias("pred"))
+    return pool.source_results(points, s.where("prob is not null"), s.where("prob is null").select("row_id")).select("row_id", "status", "probability", "prediction")
+
+
+@register(f"WITH {_VERDICT}, y AS (SELECT row_id, {_sql_binarize('primary')} AS y FROM statements) SELECT v.row_id, v.status, v.verdict, CASE WHEN y.y IS NOT NULL THEN v.verdict::INT = y.y END AS correct FROM verdicts v LEFT JOIN y ON v.row_id = y.row_id")
+def verified_rows(spark: SparkSession, folder: str) -> DataFrame:
+    sources = _sources(spark, folder)
+    out = pool.verdict_rows(sources[0], pool.reconcile(*sources, w=0.6), labels=_binary(spark, folder))
+    return out.select("row_id", "status", "verdict", "correct")
+
+
 # --- stored scores and caches
 
 
+@register("WITH c AS (SELECT DISTINCT cache_key FROM response_cache WHERE schema_no = 3 AND trim(response_text) <> ''), r AS (SELECT cache_key, call_kind FROM response_cache) SELECT call_kind, count(*) AS n, count(*) FILTER (c.cache_key IS NULL) AS n_missing FROM r LEFT JOIN c USING (cache_key) GROUP BY 1")
+def replay_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    cache = table(spark, folder, "response_cache")
+    done = scoring.replay(cache.select("cache_key", "call_kind"), scoring.cache_entries(cache, 3))
+    return done.groupBy("call_kind").agg(F.count("*").alias("n"), F.count_if(~F.col("hit")).alias("n_missing"))
+
+
+@register("WITH b AS (SELECT cache_key, count(DISTINCT backend) AS nb, max((call_kind = 'classify')::INT) AS cl FROM response_cache WHERE schema_no = 3 GROUP BY 1), o AS (SELECT cache_key, max(response_text) AS t FROM response_cache GROUP BY 1) SELECT CASE WHEN nb IS NULL THEN 'drop_unreachable' WHEN coalesce(t, '') = '' THEN 'drop_empty' WHEN nb > 1 THEN 'quarantine_backends' WHEN cl = 1 THEN 'quarantine_classify' ELSE 'migrate' END AS disposition, count(*) AS n FROM o LEFT JOIN b USING (cache_key) GROUP BY 1")
+def migration_plan(spark: SparkSession, folder: str) -> DataFrame:
+    cache = table(spark, folder, "response_cache")
+    return scoring.migration_plan(cache.where("schema_no = 3"), cache).groupBy("disposition").agg(F.count("*").alias("n"))
+
+
 @register("SELECT s.row_id, t.prob, CASE WHEN t.row_id IS NULL OR t.prob IS NULL THEN 'absent' WHEN t.norm_key = s.norm_key THEN 'covered' ELSE 'mismatched' END AS status FROM statements s LEFT JOIN stored_scores t ON s.row_id = t.row_id WHERE s.split_name IN ('val', 'test')")
 def stored_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return scoring.coverage(table(spark, folder, "statements").where("split_name in ('val', 'test')"), table(spark, folder, "stored_scores"))
@@ -504,6 +660,14 @@ def driver_distribution(spark: SparkSession, folder: str) -> DataFrame:
     return explain.drivers(_occlusion(spark, folder)).groupBy("driver").agg(F.count("*").alias("n"))
 
 
+_FAMILY = "CASE driver " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in explain.FAMILIES.items()) + " END"
+
+
+@register(f"WITH {_DRIVER}, d AS (SELECT {_AS_DRIVER.format(0.05)} AS driver FROM top), f AS (SELECT unnest({list(dict.fromkeys(explain.FAMILIES.values()))}) AS family) SELECT f.family, count(d.driver) AS n FROM f LEFT JOIN d ON {_FAMILY} = f.family GROUP BY 1")
+def driver_families(spark: SparkSession, folder: str) -> DataFrame:
+    return explain.families(explain.drivers(_occlusion(spark, folder)))
+
+
 EPS = [0.0, 0.02, 0.05, 0.07, 0.1, 0.15, 0.2]
 
 
@@ -528,18 +692,53 @@ def driver_vs_baseline(spark: SparkSession, folder: str) -> DataFrame:
 def _refs(spark: SparkSession, folder: str) -> DataFrame:
     texts = scoring.cache_entries(table(spark, folder, "response_cache").where("call_kind = 'rationale'"), 3).select("row_id", "response_text")
     d = texts.join(table(spark, folder, "statements"), "row_id").join(explain.drivers(_occlusion(spark, folder)), "row_id")
-    return d.select("row_id", "driver", explain.rationale_refs(F.col("response_text"), F.col("speaker_name"), F.col("speaker_affiliation"), F.col("subjects")).alias("refs"))
+    return d.select("row_id", "driver", explain.rationale_refs(F.col("response_text"), F.col("speaker_name"), F.col("subjects")).alias("refs"))
 
 
-@register()
+def _has(words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains(t, '{w}')" for w in words) + ")"
+
+
+_PARTS = "list_filter(string_split(regexp_replace(translate(lower(coalesce({0}, '')), '-$', '  '), '[\\s\\x{{A0}}\\x{{2000}}-\\x{{200A}}]+', ' ', 'g'), ' '), lambda w: length(w) > {1} AND contains(t, w))"
+_REFS = (
+    "texts AS (SELECT row_id, response_text FROM (SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY written_at DESC, response_text DESC) AS k FROM response_cache WHERE schema_no = 3 AND call_kind = 'rationale' AND trim(response_text) <> '') WHERE k = 1),"
+    " said AS (SELECT s.row_id, lower(response_text) AS t, speaker_name, subjects FROM texts JOIN statements s ON texts.row_id = s.row_id),"
+    f" hits AS (SELECT row_id, list_filter([CASE WHEN len({_PARTS.format('speaker_name', 2)}) > 0 OR {_has(explain.SPEAKER_WORDS)} THEN 'speaker' END, CASE WHEN {_has(explain.AFFILIATION_WORDS)} THEN 'affiliation' END, CASE WHEN len({_PARTS.format('subjects', 3)}) > 0 THEN 'subjects' END, CASE WHEN {_has(explain.CONTEXT_WORDS)} THEN 'context' END, CASE WHEN {_has(explain.STATEMENT_WORDS)} THEN 'statement' END], lambda x: x IS NOT NULL) AS found FROM said),"
+    " refs AS (SELECT row_id, CASE WHEN len(found) = 0 THEN ['statement'] ELSE found END AS refs FROM hits)"
+)
+_CALLED = "CASE driver " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in explain.REFERENCE.items()) + " END"
+
+
+@register(f"WITH {_REFS} SELECT row_id, array_to_string(refs, '|') AS refs_joined FROM refs")
+def rationale_refs(spark: SparkSession, folder: str) -> DataFrame:
+    return _refs(spark, folder).select("row_id", F.array_join("refs", "|").alias("refs_joined"))
+
+
+@register(f"WITH {_DRIVER}, {_REFS}, d AS (SELECT r.row_id, {_AS_DRIVER.format(0.05)} AS driver, r.refs FROM refs r JOIN top ON top.row_id = r.row_id) SELECT driver, count(*) AS n, round(avg(list_contains(refs, {_CALLED})::INT), 6) AS agreement FROM d WHERE driver <> 'undetermined' GROUP BY driver")
 def rationale_agreement(spark: SparkSession, folder: str) -> DataFrame:
     d = _refs(spark, folder).where("driver <> 'undetermined'")
-    return d.select("row_id", "driver", F.array_contains("refs", F.col("driver")).alias("agree")).groupBy("driver").agg(F.count("*").alias("n"), F.round(F.avg(F.col("agree").cast("int")), 6).alias("agreement"))
+    agree = F.array_contains("refs", explain.reference(F.col("driver")))
+    return d.select("row_id", "driver", agree.alias("agree")).groupBy("driver").agg(F.count("*").alias("n"), F.round(F.avg(F.col("agree").cast("int")), 6).alias("agreement"))
+
+
+@register(f"WITH {_DRIVER}, {_REFS}, r1 AS (SELECT row_id, any_value(refs) AS refs FROM refs GROUP BY row_id), d AS (SELECT top.row_id, {_AS_DRIVER.format(0.05)} AS driver, r1.refs FROM top LEFT JOIN r1 ON top.row_id = r1.row_id), a AS (SELECT driver, CASE WHEN driver <> 'undetermined' AND refs IS NOT NULL THEN list_contains(refs, {_CALLED})::INT END AS agree FROM d)"
+    " SELECT count(*) AS n, count(*) FILTER (driver = 'undetermined') AS n_undetermined, round_even(count(*) FILTER (driver = 'undetermined') / count(*)::DOUBLE, 4) AS undetermined_rate, count(agree) AS n_scored, round_even(avg(agree), 3) AS agreement_rate FROM a")
+def attribution_summary(spark: SparkSession, folder: str) -> DataFrame:
+    refs = _refs(spark, folder).groupBy("row_id").agg(F.min("refs").alias("refs"))
+    return explain.agreement(explain.drivers(_occlusion(spark, folder)), refs)
+
+
+@register()
+def driver_accuracy(spark: SparkSession, folder: str) -> DataFrame:
+    occluded = _occlusion(spark, folder)
+    pred = occluded.where("field = 'all'").select("row_id", "pred")
+    rows = explain.drivers(occluded).join(pred, "row_id").join(_binary(spark, folder).select("row_id", "y"), "row_id")
+    return explain.driver_accuracy(rows.select("driver", "y", "pred"))
 
 
 @register()
 def agreement_permutation(spark: SparkSession, folder: str) -> DataFrame:
-    d = _refs(spark, folder).where("driver <> 'undetermined'").select("driver", "refs")
+    d = _refs(spark, folder).where("driver <> 'undetermined'").select(explain.reference(F.col("driver")).alias("driver"), "refs")
     return resample.permutation_test(d, "driver", "refs")
 
 
@@ -563,11 +762,35 @@ def tfidf_top_k(spark: SparkSession, folder: str) -> DataFrame:
 # --- splits
 
 
-@register()
+def _sql_components(rounds: int = 24) -> str:
+    steps = [f"g0 AS MATERIALIZED (SELECT row_id, CASE WHEN NOT ({BLANK.format('speaker_name')}) THEN speaker_name END AS s, CASE WHEN NOT ({BLANK.format('norm_key')}) THEN norm_key END AS k, row_id AS g FROM statements)"]
+    for i in range(rounds):
+        part = lambda c: f"min(g) OVER (PARTITION BY coalesce({c}, '\x1f' || row_id))"
+        steps.append(f"h{i} AS MATERIALIZED (SELECT row_id, s, k, {part('s')} AS g FROM g{i})")
+        steps.append(f"g{i + 1} AS MATERIALIZED (SELECT row_id, s, k, {part('k')} AS g FROM h{i})")
+    return "WITH " + ", ".join(steps) + f" SELECT row_id, g AS component FROM g{rounds}"
+
+
+@register(_sql_components())
 def components(spark: SparkSession, folder: str) -> DataFrame:
     return split.components(table(spark, folder, "statements"))
 
 
+@register(f"SELECT row_id, CASE WHEN {BLANK.format('norm_key')} THEN row_id ELSE min(row_id) OVER (PARTITION BY norm_key) END AS component FROM statements")
+def key_components(spark: SparkSession, folder: str) -> DataFrame:
+    return split.components(table(spark, folder, "statements"), link_speaker=False)
+
+
+@register()
+def two_way_split(spark: SparkSession, folder: str) -> DataFrame:
+    return split.two_way(quality.clean_dataset(_lab(spark, folder)), 0.2)
+
+
+@register()
+def sampled_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return split.select_rows(quality.clean_dataset(_lab(spark, folder)), "dev", 200).select("row_id", "y")
+
+
 @register()
 def three_way_split(spark: SparkSession, folder: str) -> DataFrame:
     return split.three_way(quality.clean_dataset(_lab(spark, folder)), 0.2, 0.2)

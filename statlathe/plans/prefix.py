@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges of [0, 1] that are summed apart; the totals before each are a table of at most this many rows for each group.
-RANGES = 512
+#: Ranges that are summed apart; the totals before each are a table of at most this many rows for each group.
+RANGES = 128
 
 
 def running_totals(hist: DataFrame, by: str, order: str, sums: list[str], descending: bool = False) -> DataFrame:
     """``hist`` with ``c_<s>``, the total of each column of ``sums`` over the group's rows up to and with this one in
-    ``order`` (values in [0, 1], distinct within a group). Ranges are totalled first; a window sorts one range only."""
-    at = F.least(F.floor(F.col(order) * RANGES), F.lit(RANGES - 1)).cast("int")
-    h = hist.withColumn("_range", -at if descending else at)
+    ``order`` (values distinct within a group). Ranges between approximate quantiles of ``order``, so that each holds
+    about equally many rows wherever they pile up, are totalled first; a window sorts one range only."""
+    cuts = hist.groupBy(by).agg(F.percentile_approx(order, F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)]), 10 * RANGES).alias("_cuts"))
+    hist_cut = hist.join(F.broadcast(cuts), by)
+    at = F.size(F.filter("_cuts", lambda e: e < F.col(order)))
+    h = hist_cut.withColumn("_range", -at if descending else at)
     parts = h.groupBy(by, "_range").agg(*[F.sum(s).alias(f"_s_{s}") for s in sums])
     w = Window.partitionBy(by).orderBy("_range")
     before = parts.select(by, "_range", *[(F.sum(f"_s_{s}").over(w) - F.col(f"_s_{s}")).alias(f"_b_{s}") for s in sums])
@@ -23,7 +26,7 @@ def running_totals(hist: DataFrame, by: str, order: str, sums: list[str], descen
 
 
 def quantiles(hist: DataFrame, by: str, value: str, count: str, at: list[float]) -> DataFrame:
-    """``(by, edges)``: linearly interpolated quantiles of values in [0, 1] with multiplicities."""
+    """``(by, edges)``: linearly interpolated quantiles of values with multiplicities."""
     totals = hist.groupBy(by).agg(F.sum(count).alias("_n"))
     ranks = totals.select(by, "_n", F.posexplode(F.array(*[F.lit(q) for q in at])).alias("_k", "_q"))
     ranks = ranks.withColumn("_x", F.col("_q") * (F.col("_n") - 1)).withColumn("_lo", F.floor("_x"))

@@ -18,12 +18,14 @@ _written: list[tuple[object, object]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` where it is set, else (tests on one machine) a new
-    folder of this process, which then becomes the session's setting."""
+    """The folder all executors share: ``spark.checkpoint.dir`` where it is set, else (only where driver and executors are
+    one process, as in tests) a new folder of this process, which then becomes the session's setting."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         if spark.sparkContext.getCheckpointDir():
             return spark.sparkContext.getCheckpointDir()
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         local = tempfile.mkdtemp(prefix="statlathe-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         folder = "file://" + local
