@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statlathe.functions.text import digest, is_blank, norm_key
-from statlathe.plans.shared import written
+from statlathe.plans.shared import salted_join, written
 
 #: At most one word in PART of the longer text may differ.
 PART = 6
@@ -328,7 +328,7 @@ def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def text_classes(df: DataFrame, row_id: str, text: str, split: str, train: str = "train", held: tuple[str, ...] = ("val", "test")) -> tuple[DataFrame, DataFrame]:
     """``members(r, s, d, cut)``, a row's id, split, and the digests of its letters and digits and of its words; and the
-    classes of texts with the same words, ``(d, cut, class_id, in_train, in_eval, text)``, named by their least row id.
+    classes of texts with the same words, ``(d, cut, class_id, in_train, in_eval, n_rows, text)``, named by their least row id.
     Rows of other splits or none, and texts without a letter or digit, are left out."""
     rows = df.where(F.col(split).isin(train, *held)).select(F.col(row_id).cast("long").alias("r"), F.col(split).alias("s"), F.col(text).alias("text"))
     words = norm_key(F.col("text"))
@@ -337,7 +337,7 @@ def text_classes(df: DataFrame, row_id: str, text: str, split: str, train: str =
     members = rows.where(~is_blank(F.col("text"))).select("r", "s", words.alias("w")).where(flat != "")
     members = written(members.select("r", "s", digest(flat).alias("d"), digest(F.col("w")).alias("cut")))
     is_train = F.col("s") == train
-    cuts = members.groupBy("d", "cut").agg(F.min("r").alias("class_id"), F.max(is_train).alias("in_train"), F.max(~is_train).alias("in_eval"))
+    cuts = members.groupBy("d", "cut").agg(F.min("r").alias("class_id"), F.max(is_train).alias("in_train"), F.max(~is_train).alias("in_eval"), F.count("*").alias("n_rows"))
     return members, cuts.join(rows.select(F.col("r").alias("class_id"), "text"), "class_id")
 
 
@@ -375,7 +375,9 @@ def cross_split_links(df: DataFrame, row_id: str, text: str, split: str) -> tupl
     train, held = (cuts.where(x).select("d", F.col("class_id").alias(y)) for x, y in (("in_train", "train_class"), ("in_eval", "eval_class")))
     same = train.join(held, "d").select("train_class", "eval_class")
     links = written(near.union(same).distinct())
-    return written(members.join(cuts.select("d", "cut", "class_id"), ["d", "cut"]).select(F.col("r").alias("row_id"), F.col("s").alias("split"), "class_id")), links
+    # equal cuts have equal letters and digits; a class may hold any part of the rows
+    named = salted_join(members.select("r", "s", "cut"), cuts.select("cut", "class_id", "n_rows"), "cut", "n_rows", members.count(), "r", "inner")
+    return written(named.select(F.col("r").alias("row_id"), F.col("s").alias("split"), "class_id")), links
 
 
 def cross_split_pairs(df: DataFrame, row_id: str, text: str, split: str) -> DataFrame:
