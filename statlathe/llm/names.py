@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statlathe.functions.text import is_blank
@@ -280,7 +280,9 @@ def linked_names(df: DataFrame, name: str, job: str) -> tuple[DataFrame, DataFra
     counted = by_job.groupBy("name").agg(F.sum("n").alias("n"))
     names = written(counted.mapInPandas(_read, "name string, n long, tokens array<string>, mark string"))
     found = written(candidates(names).mapInPandas(_verify, "a string, b string, score double"))
-    jobs = by_job.where("job is not null").select("name", "job", (F.col("n") / F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("name")))).alias("w"))
+    stated = by_job.where("job is not null").join(found.select(F.explode(F.array("a", "b")).alias("name")).distinct(), "name")
+    size = stated.groupBy("name").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("size"))
+    jobs = stated.join(size, "name").select("name", "job", (F.col("n") / F.col("size")).alias("w"))
     agree = found.join(jobs.select(F.col("name").alias("a"), "job", "w"), "a").join(jobs.select(F.col("name").alias("b"), "job", F.col("w").alias("v")), ["b", "job"])
     agree = agree.groupBy("a", "b").agg(F.sum(F.col("w") * F.col("v")).alias("jobs"))
     links = found.join(agree, ["a", "b"], "left").select("a", "b", (F.col("score") + 0.1 * F.coalesce("jobs", F.lit(0.0))).alias("score"))
