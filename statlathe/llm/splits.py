@@ -16,20 +16,21 @@ from statlathe.plans.shared import HOT_PART, written
 __all__ = ["assign_splits", "group_related", "split_report"]
 
 
-def assign_splits(groups: DataFrame, shares: dict[str, float], seed: int = 0) -> DataFrame:
+def assign_splits(groups: DataFrame, shares: dict[str, float], seed: int = 0, large: float | None = HOT_PART) -> DataFrame:
     """``(row_id, group_row_id, split)``: whole groups go to splits whose rows come as near to ``shares`` as they allow.
 
-    A group of more than ``HOT_PART`` of all rows (so at most ``1 / HOT_PART`` of them, largest first) goes to the split
-    that lacks most rows. The others go by the hash of their identifier into ranges in proportion to what each split
-    still lacks. No rows give no rows."""
+    Groups go by the hash of their identifier into ranges in proportion to the shares. A group of more than ``large`` of
+    all rows (so at most ``1 / large`` of them, largest first) would throw the shares out: it goes to the split that lacks
+    most rows, and the ranges are in proportion to what each split then still lacks. ``large`` None leaves all groups to
+    their hash. No rows give no rows."""
     if abs(sum(shares.values()) - 1) > 1e-9 or min(shares.values()) < 0:
         raise ValueError("shares must be non-negative and sum to 1")
     groups = written(groups)
     total = groups.count()
-    large = groups.where(F.col("n_rows") > max(1.0, total * HOT_PART)).select("group_row_id", "n_rows").distinct()
+    big = groups.where(F.col("n_rows") > max(1.0, total * large)).select("group_row_id", "n_rows").distinct().collect() if large else []
     lacks = {k: v * total for k, v in shares.items()}
     placed = []
-    for g in sorted(large.collect(), key=lambda g: (-g.n_rows, g.group_row_id)):
+    for g in sorted(big, key=lambda g: (-g.n_rows, g.group_row_id)):
         to = max(lacks, key=lambda k: (lacks[k], k))
         lacks[to] -= g.n_rows
         placed.append((g.group_row_id, to))

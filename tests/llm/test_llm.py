@@ -30,6 +30,9 @@ def test_groups_match_union_find(spark):
     by = {}
     for r in placed.collect():
         assert by.setdefault(r.group_row_id, r.split) == r.split
+    alone = splits.assign_splits(spark.range(4000).selectExpr("id as row_id", "id as group_row_id", "1L as n_rows"), {"train": 0.7, "val": 0.15, "test": 0.15}, large=None)
+    share = {r.split: r.share for r in splits.split_report(alone, {"train": 0.7, "val": 0.15, "test": 0.15}).collect()}
+    assert share["train"] == pytest.approx(0.7, abs=0.03) and share["val"] == pytest.approx(0.15, abs=0.03)
     assert splits.group_related(d.limit(0), "row_id", "speaker_name", "norm_key").count() == 0
 
 
