@@ -13,6 +13,7 @@ from statlathe.operators import pool as _pool
 from statlathe.operators import quality, resample, retrieve
 from statlathe.operators.calibrate import apply
 from statlathe.operators.scoring import CallScorer, Scorer, StoredScorer, estimated_tokens
+from statlathe.plans.shared import written
 from statlathe.sources import files
 
 LIMITS = {"predict": 500, "explain": 50, "retrieve": 1000, "metrics": 100_000, "page": 500}
@@ -145,6 +146,15 @@ def predict(rows: DataFrame, scorer: Scorer, fit: dict | None = None, threshold:
     return s.select("row_id", F.col("prob").alias("prob_raw"), p.alias("prob"), (p >= threshold).cast("int").alias("pred"), "measured")
 
 
+def run(rows: DataFrame, scorer: Scorer, model: str, threshold: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """Scores labelled rows ``(row_id, y, ...)`` and returns them as ``(row_id, model_name, y, p, pred, measured)``, and a
+    row with their number, parse failures and metrics."""
+    s = written(scorer.score(rows).join(rows.select("row_id", "y"), "row_id"))
+    scored = s.select("row_id", F.lit(model).alias("model_name"), "y", F.col("prob").alias("p"), (F.col("prob") >= threshold).cast("int").alias("pred"), "measured")
+    failed = scored.groupBy("model_name").agg(F.count("*").alias("n"), F.count_if(~F.col("measured")).alias("parse_failures"))
+    return scored, failed.join(_metrics.metric_bundle(scored), "model_name")
+
+
 def calls_needed(rows: DataFrame, scorer: Scorer) -> int:
     """Live calls a prediction would make: none of stored scores, one for each distinct text else."""
     return rows.select(scorer.text).distinct().count() if isinstance(scorer, CallScorer) else 0

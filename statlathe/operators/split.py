@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from statlathe.functions.text import blank_to_null, digest
 from statlathe.operators.components import group_related
+from statlathe.plans.prefix import running_totals
 from statlathe.plans.shared import salted_join, written
 
 
@@ -27,10 +28,10 @@ def stratified_assign(labelled: DataFrame, test_frac: float, seed: int = 0, exac
     """``(component, side)`` for ``labelled(row_id, component, y)``: components by majority label (a tie is 1); within a
     class, larger ones first, those that still fit half-way go to test.
 
-    By default the components of one size are taken to fit in the order of a hash, as many as there is room for: how many
-    fit is reckoned for each size, of which there are few, and each component's share of its size decides, so components
-    stay distributed. ``exact_order`` shuffles with the sequential generator of the language, one generator for both
-    classes, over the list of components on the driver; it refuses more than a million of them."""
+    Among components of one size the order is that of a seeded hash; how many of a size fit follows from the room the
+    larger ones left, and sizes are few, so only their counts are on the driver. ``exact_order`` takes the order of the
+    language's sequential generator instead, one generator for both classes, over the list of components on the driver;
+    it refuses more than a million of them."""
     comp = labelled.groupBy("component").agg(F.count("*").alias("size"), (F.avg("y") >= 0.5).cast("int").alias("majority"))
     comp = written(comp)
     total = {r.majority: r.n for r in comp.groupBy("majority").agg(F.sum("size").alias("n")).collect()}
@@ -48,16 +49,17 @@ def stratified_assign(labelled: DataFrame, test_frac: float, seed: int = 0, exac
                 taken += r.size * inside
                 placed.append((r.component, "test" if inside else "train"))
         return comp.sparkSession.createDataFrame(placed, "component long, side string")
-    # a size class is walked in hashed order; the totals of larger sizes come first. Sizes are few, so their table is small
     sizes = comp.groupBy("majority", "size").agg(F.count("*").alias("k")).orderBy("majority", F.desc("size")).collect()
     rows, room = [], {y: test_frac * n for y, n in total.items()}
     for r in sizes:
         fit = min(r.k, max(0, int((room[r.majority] + r.size / 2) // r.size)))
         room[r.majority] -= fit * r.size
-        rows.append((r.majority, r.size, fit / r.k))
-    share = comp.sparkSession.createDataFrame(rows, "majority int, size long, share double")
-    u = F.pmod(F.xxhash64(F.col("component"), F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    return comp.join(F.broadcast(share), ["majority", "size"]).select("component", F.when(u < F.col("share"), "test").otherwise("train").alias("side"))
+        rows.append((f"{r.majority} {r.size}", fit))
+    fits = comp.sparkSession.createDataFrame(rows, "unit string, fit long")
+    # a component's rank in its size class, by ranges of the hash
+    ranked = comp.select("component", F.concat_ws(" ", "majority", "size").alias("unit"), F.xxhash64(F.lit(seed), F.col("component")).alias("h"), F.lit(1).alias("one"))
+    ranked = running_totals(ranked, "unit", "h", ["one"]).join(F.broadcast(fits), "unit")
+    return ranked.select("component", F.when(F.col("c_one") <= F.col("fit"), "test").otherwise("train").alias("side"))
 
 
 def three_way(df: DataFrame, test_frac: float, val_frac: float, seed: int = 0) -> DataFrame:

@@ -286,6 +286,31 @@ def test_prediction_tools(spark):
     assert [(r.row_id, r.exact_key_match) for r in hits.collect()] == [(10, True)] and len(warnings) == 1
 
 
+def test_run(spark):
+    rows = spark.createDataFrame([(1, "a", 1), (2, "b", 0), (3, "a", 1)], "row_id long, statement_clean string, y int")
+    scored_rows, summary = api.run(rows, scoring.CallScorer(lambda ts: ["80" if t == "a" else "?" for t in ts]), "m")
+    r = summary.first()
+    assert (r.n, r.parse_failures, r.recall_true) == (3, 1, 1.0) and scored_rows.count() == 3
+
+
+def test_greedy_sides(spark):
+    rng = random.Random(3)
+    sizes = [rng.choice([1, 1, 2, 3, 7, 20]) for _ in range(80)]
+    rows = [(c * 100 + i, c, c % 2) for c, n in enumerate(sizes) for i in range(n)]
+    d = spark.createDataFrame(rows, "row_id long, component long, y int")
+    side = {r.component: r.side for r in split.stratified_assign(d, 0.3, 1).collect()}
+    for y in (0, 1):
+        taken, target = 0, 0.3 * sum(n for c, n in enumerate(sizes) if c % 2 == y)
+        for size in sorted(set(sizes), reverse=True):
+            mine = [c for c, n in enumerate(sizes) if n == size and c % 2 == y]
+            fit = 0
+            for _ in mine:  # one after the other, those that still fit half-way
+                if taken + size / 2 <= target:
+                    taken += size
+                    fit += 1
+            assert sum(side[c] == "test" for c in mine) == fit
+
+
 def test_dataset_tool(spark):
     d = spark.createDataFrame([(i, "true" if i % 2 else "false", f"s{i}", "test" if i < 6 else "train", *[""] * 6) for i in range(10)], "row_id long, label string, statement string, split_name string, " + ", ".join(f"{c} string" for c in files.COLUMNS[1:]))
     out = api.dataset(d, "test", 4)
