@@ -46,9 +46,9 @@ def _losses(hist: DataFrame, ps: list[Column]) -> list[float]:
     return list(hist.agg(*cols).first())
 
 
-def fit_temperature(hist: DataFrame, low: float = 0.05, high: float = 10.0, rounds: int = 6, points: int = 17) -> dict:
+def fit_temperature(hist: DataFrame, low: float = 0.05, high: float = 10.0, rounds: int = 3, points: int = 17) -> dict:
     """The T in [low, high] of least log loss: each round tries a grid in one pass and narrows to the best one's
-    neighbours, on a logarithmic scale."""
+    neighbours, on a logarithmic scale; Newton steps on 1 / T, in which the loss is convex, end the search."""
     a, b = math.log(low), math.log(high)
     best = (float("inf"), 1.0)
     for _ in range(rounds):
@@ -58,7 +58,17 @@ def fit_temperature(hist: DataFrame, low: float = 0.05, high: float = 10.0, roun
         best = min(best, (got[k], ts[k]))
         step = (b - a) / (points - 1)
         a, b = max(math.log(low), math.log(ts[k]) - step), min(math.log(high), math.log(ts[k]) + step)
-    return {"method": "temperature", "T": best[1], "nll": best[0]}
+    z, b = logit(F.col("p")), 1 / best[1]
+    for _ in range(8):
+        q = sigmoid(b * z)
+        g, h = hist.agg(F.sum((F.col("pos") - F.col("n") * q) * z), F.sum(F.col("n") * q * (1 - q) * z * z)).first()
+        if not h:
+            break
+        after = min(1 / low, max(1 / high, b + g / h))
+        done, b = abs(after - b) < 1e-12, after
+        if done:
+            break
+    return {"method": "temperature", "T": 1 / b, "nll": _losses(hist, [apply(F.col("p"), {"method": "temperature", "T": 1 / b})])[0]}
 
 
 def fit_platt(hist: DataFrame, rounds: int = 30, tol: float = 1e-10) -> dict:

@@ -494,13 +494,31 @@ def _one(spark: SparkSession, folder: str, part: str | None = None) -> DataFrame
     return d.where(F.col("split_name") == part) if part else d
 
 
-@register()
+_FITTED = f"{SCORED}, h AS MATERIALIZED (SELECT {_LOGIT.format('p')} AS z, sum(y)::DOUBLE AS pos, count(*)::DOUBLE AS n FROM scored WHERE model_name = 'base-logprob' AND split_name = 'val' GROUP BY p)"
+_MEAN_LOSS = "sum(-pos * ln(1 / (1 + exp(-({0})))) - (n - pos) * ln(1 / (1 + exp({0})))) / sum(n)"
+
+
+def _sql_temperature(steps: int = 14) -> str:
+    q = "(1 / (1 + exp(-b * z)))"
+    newton = [f"b{i + 1} AS MATERIALIZED (SELECT max(b) + sum((pos - n * {q}) * z) / sum(n * {q} * (1 - {q}) * z * z) AS b FROM h, b{i})" for i in range(steps)]
+    return f"WITH {_FITTED}, b0 AS (SELECT 1.0::DOUBLE AS b), " + ", ".join(newton) + f", held AS (SELECT greatest(0.1, least(20, b)) AS b FROM b{steps}) SELECT round(1 / max(b), 6) AS T, round({_MEAN_LOSS.format('b * z')}, 6) AS nll FROM h, held"
+
+
+def _sql_platt(steps: int = 14) -> str:
+    q = "(1 / (1 + exp(-(a * z + b))))"
+    w = f"(n * {q} * (1 - {q}))"
+    sums = f"max(a) AS a, max(b) AS b, sum((pos - n * {q}) * z) AS g1, sum(pos - n * {q}) AS g0, sum({w} * z * z) AS h11, sum({w} * z) AS h10, sum({w}) AS h00"
+    newton = [f"p{i + 1} AS MATERIALIZED (SELECT a + (h00 * g1 - h10 * g0) / (h11 * h00 - h10 * h10) AS a, b + (h11 * g0 - h10 * g1) / (h11 * h00 - h10 * h10) AS b FROM (SELECT {sums} FROM h, p{i}))" for i in range(steps)]
+    return f"WITH {_FITTED}, p0 AS (SELECT 1.0::DOUBLE AS a, 0.0::DOUBLE AS b), " + ", ".join(newton) + f" SELECT round(max(a), 6) AS A, round(max(b), 6) AS B, round({_MEAN_LOSS.format('a * z + b')}, 6) AS nll FROM h, p{steps}"
+
+
+@register(_sql_temperature())
 def fit_temperature(spark: SparkSession, folder: str) -> DataFrame:
     fit = calibrate.fit_temperature(written(metrics.histogram(_one(spark, folder, "val"))))
     return spark.createDataFrame([(round(fit["T"], 6), round(fit["nll"], 6))], "T double, nll double")
 
 
-@register()
+@register(_sql_platt())
 def fit_platt(spark: SparkSession, folder: str) -> DataFrame:
     fit = calibrate.fit_platt(written(metrics.histogram(_one(spark, folder, "val"))))
     return spark.createDataFrame([(round(fit["A"], 6), round(fit["B"], 6), round(fit["nll"], 6))], "A double, B double, nll double")
