@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +56,24 @@ def drop_written(df: DataFrame) -> None:
         _written.remove(item)
 
 
+@contextmanager
+def scratch():
+    """Tables that ``written`` makes inside are removed at the end, but for those handed to the function this yields.
+    What is returned from inside must be such a table (or read nothing else)."""
+    older, kept = list(_written), []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df._statlathe_path.rsplit("/", 1)[1])
+        return df
+
+    try:
+        yield keep
+    finally:
+        for item in [x for x in _written if x not in older and x[1].getName() not in kept]:
+            item[0].delete(item[1], True)
+            _written.remove(item)
+
+
 @atexit.register
 def _clean() -> None:
     for fs, path in _written:
