@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from statlathe.functions.text import is_blank
 from statlathe.llm.canon import fold, one_slip, short_for, slip_keys
-from statlathe.plans.shared import drop_written, written
+from statlathe.plans.shared import drop_written, scratch, written
 
 GRAM = 3
 #: Rows of a band, the Jaccard similarity of q-grams at which a token pair must be found, and how surely.
@@ -323,7 +323,8 @@ def star_clusters(names: DataFrame, links: DataFrame) -> DataFrame:
 
 def cluster_names(df: DataFrame, name: str, job: str) -> DataFrame:
     """``(name, centre)`` for every distinct non-blank spelling. NULL and blank names have no row."""
-    return star_clusters(*linked_names(df, name, job))
+    with scratch() as keep:
+        return keep(written(star_clusters(*linked_names(df, name, job))))
 
 
 def variant_pairs(clusters: DataFrame) -> DataFrame:

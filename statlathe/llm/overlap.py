@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statlathe.functions.text import digest, is_blank, norm_key
-from statlathe.plans.shared import salted_join, written
+from statlathe.plans.shared import salted_join, scratch, written
 
 #: At most one word in PART of the longer text may differ.
 PART = 6
@@ -369,15 +369,16 @@ def cross_split_links(df: DataFrame, row_id: str, text: str, split: str) -> tupl
     """``members(row_id, split, class_id)`` and ``links(train_class, eval_class)``, a class being the texts with the same
     words. Links hold every pair of classes that have the same letters and digits or are near, a class's own pair too
     (when it lies on both sides). Copies are not expanded, so a group of any size costs its rows once."""
-    members, cuts = text_classes(df, row_id, text, split)
-    cuts = written(cuts)
-    near = near_classes(cuts.select("class_id", "in_train", "in_eval", "text"))
-    train, held = (cuts.where(x).select("d", F.col("class_id").alias(y)) for x, y in (("in_train", "train_class"), ("in_eval", "eval_class")))
-    same = train.join(held, "d").select("train_class", "eval_class")
-    links = written(near.union(same).distinct())
-    # equal cuts have equal letters and digits; a class may hold any part of the rows
-    named = salted_join(members.select("r", "s", "cut"), cuts.select("cut", "class_id", "n_rows"), "cut", "n_rows", members.count(), "r", "inner")
-    return written(named.select(F.col("r").alias("row_id"), F.col("s").alias("split"), "class_id")), links
+    with scratch() as keep:
+        members, cuts = text_classes(df, row_id, text, split)
+        cuts = written(cuts)
+        near = near_classes(cuts.select("class_id", "in_train", "in_eval", "text"))
+        train, held = (cuts.where(x).select("d", F.col("class_id").alias(y)) for x, y in (("in_train", "train_class"), ("in_eval", "eval_class")))
+        same = train.join(held, "d").select("train_class", "eval_class")
+        links = keep(written(near.union(same).distinct()))
+        # equal cuts have equal letters and digits; a class may hold any part of the rows
+        named = salted_join(members.select("r", "s", "cut"), cuts.select("cut", "class_id", "n_rows"), "cut", "n_rows", members.count(), "r", "inner")
+        return keep(written(named.select(F.col("r").alias("row_id"), F.col("s").alias("split"), "class_id"))), links
 
 
 def cross_split_pairs(df: DataFrame, row_id: str, text: str, split: str) -> DataFrame:
