@@ -77,14 +77,26 @@ def one_slip(a: str, b: str, most: int) -> bool:
     """Whether ``a`` becomes ``b`` by at most ``most`` changed, added, dropped or swapped letters."""
     if abs(len(a) - len(b)) > most:
         return False
-    before, row = [], list(range(len(b) + 1))
+    n, start = min(len(a), len(b)), 0
+    while start < n and a[start] == b[start]:
+        start += 1
+    end = 0
+    while end < n - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[start : len(a) - end], b[start : len(b) - end]
+    if not a or not b:
+        return max(len(a), len(b)) <= most
+    big = most + 1
+    before, row = [], [min(j, big) for j in range(len(b) + 1)]
     for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
+        new = [big] * (len(b) + 1)
+        new[0] = min(i, big)
+        for j in range(max(1, i - most), min(len(b), i + most) + 1):
+            y = b[j - 1]
             d = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != y))
             if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
                 d = min(d, before[j - 2] + 1)
-            new.append(d)
+            new[j] = min(d, big)
         if min(new) > most:
             return False
         before, row = row, new

@@ -193,8 +193,9 @@ def similar_tokens(tokens: DataFrame) -> DataFrame:
     pairs = keys.join(keys.select(F.col("token").alias("other"), "key"), "key").where("token < other")
     size = F.least(F.length("token"), F.length("other"))
     # swaps of neighbours are one slip here and two to levenshtein
-    pairs = pairs.where(F.levenshtein("token", "other", 4) >= 0).select("token", "other").distinct()
-    return pairs.where((F.levenshtein("token", "other") <= F.when(size > 6, 4).otherwise(2)) & (size > 3)).mapInPandas(_slipped, "token string, other string")
+    apart = F.levenshtein("token", "other", 4)  # -1 beyond 4, which is soon known however long the tokens are
+    pairs = pairs.where((apart >= 0) & (apart <= F.when(size > 6, 4).otherwise(2)) & (size > 3)).select("token", "other").distinct()
+    return pairs.mapInPandas(_slipped, "token string, other string")
 
 
 def _slipped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

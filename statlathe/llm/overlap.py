@@ -302,19 +302,28 @@ def _filter_bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _words_distance(a: list[str], b: list[str], most: int) -> bool:
-    """Whether the word edit distance is at most ``most``; banded."""
-    if abs(len(a) - len(b)) > most:
+    """Whether the word edit distance is at most ``most``. For each number of edits, how far each diagonal can be followed;
+    so texts that differ little take about as long as reading them, however long they are."""
+    n, m = len(a), len(b)
+    goal = m - n
+    if abs(goal) > most:
         return False
-    big = most + 1
-    row = [j if j <= most else big for j in range(len(b) + 1)]
-    for i, x in enumerate(a, 1):
-        new = [big] * (len(b) + 1)
-        if i <= most:
-            new[0] = i
-        for j in range(max(1, i - most), min(len(b), i + most) + 1):
-            new[j] = min(row[j - 1] + (x != b[j - 1]), row[j] + 1, new[j - 1] + 1, big)
-        row = new
-    return row[-1] <= most
+    reach: dict[int, int] = {}
+    for e in range(most + 1):
+        after = {}
+        left = most - e  # diagonals that can still be left for the goal's
+        for k in range(max(-e, goal - left), min(e, goal + left) + 1):
+            i = max(reach.get(k, -2) + 1, reach.get(k - 1, -2), reach.get(k + 1, -2) + 1) if e else 0
+            i = min(i, n, m - k)
+            if i < 0 or i + k < 0:
+                continue
+            while i < n and i + k < m and a[i] == b[i + k]:
+                i += 1
+            after[k] = i
+        if after.get(goal, -1) >= n:
+            return True
+        reach = after
+    return False
 
 
 def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -47,6 +47,42 @@ def test_copies(spark):
     assert copies.collapse(d.limit(0), "row_id", ["statement", "speaker_name"], "subjects").count() == 0
 
 
+def _edits(a, b, swaps=False):
+    """Edit distance straight from its definition; with swaps of neighbours where asked for."""
+    d = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if swaps and i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
+
+
+def test_distances_match_the_definition():
+    rng = random.Random(11)
+    for _ in range(1500):
+        a = [rng.choice("abc") for _ in range(rng.randint(0, 9))]
+        b = list(a)
+        for _ in range(rng.randint(0, 4)):
+            k = rng.randrange(len(b) + 1)
+            b[k : k + rng.randint(0, 1)] = [rng.choice("abc") for _ in range(rng.randint(0, 1))]
+        for most in range(5):
+            assert overlap._words_distance(a, b, most) == (_edits(a, b) <= most)
+        for most in (1, 2):
+            assert canon.one_slip("".join(a), "".join(b), most) == (_edits(a, b, swaps=True) <= most)
+
+
+def test_very_long_texts_and_tokens(spark):
+    words = [f"w{i % 977}" for i in range(60_000)]
+    changed = list(words)
+    changed[100] = changed[40_000] = "other"
+    d = spark.createDataFrame([(1, " ".join(words), "train", "x"), (2, " ".join(changed), "val", "x"), (3, "a " * 20_000, "test", "x"), (4, None, "val", "x"), (5, "", None, "x")], "row_id long, statement string, split_name string, key string")
+    assert [tuple(r) for r in overlap.cross_split_pairs(d, "row_id", "statement", "split_name").collect()] == [(1, 2)]
+    long = "x" * 20_000
+    n = spark.createDataFrame([(f"{long} smith", None), (f"{long}y smith", None), (None, "j")], "speaker_name string, speaker_job string")
+    assert len({r.centre for r in names.cluster_names(n, "speaker_name", "speaker_job").collect()}) == 1
+
+
 def test_overlap_matches_brute_force(spark):
     rng = random.Random(5)
     vocab = [f"w{i}" for i in range(60)]
@@ -66,7 +102,7 @@ def test_overlap_matches_brute_force(spark):
         for b, y, t in rows:
             if s == "train" and t in ("val", "test"):
                 p, q = overlap.words_of(x), overlap.words_of(y)
-                if "".join(p) == "".join(q) or overlap._words_distance(p, q, overlap.allowed(max(len(p), len(q)))):
+                if "".join(p) == "".join(q) or _edits(p, q) <= overlap.allowed(max(len(p), len(q))):
                     want.add((min(a, b), max(a, b)))
     got = [tuple(r) for r in overlap.cross_split_pairs(d, "row_id", "statement", "split_name").collect()]
     assert set(got) == want and len(got) == len(want)
