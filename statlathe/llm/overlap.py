@@ -28,13 +28,16 @@ PART = 6
 #: as hashes. All texts are counted.
 COMMON_PART = 0.0005
 #: A run counts as rare when the expected number of texts that hold it is at most this; texts without enough rare runs
-#: try the next level, and those without enough of these are cut into equal blocks.
-RARE = (6.0, 60.0, 400.0)
-#: Bits of the filter that spares the later levels' runs nobody asks for. However many are asked for, its size is fixed; a
-#: full one lets more through, which the join then drops.
-FILTER_BITS = 1 << 25
+#: try the next level, and those without enough of these are cut into equal blocks. The more texts there are, the later the
+#: level that most find theirs at; equal blocks, chosen blindly, hold phrases that a large part of all texts has.
+RARE = (6.0, 60.0, 400.0, 2_000.0, 10_000.0, 50_000.0)
+#: Bits of the filter that spares the runs nobody asks for: four for each that is asked for, within these bounds. A full one
+#: lets more through, which the join then drops.
+FILTER_BITS = (1 << 20, 1 << 28)
+#: The filter is made in so many parts, by key.
+FILTER_PARTS = 16
 #: The longest run that is tried to become rare.
-LONGEST = 6
+LONGEST = 8
 
 
 def words_of(text: str) -> list[str]:
@@ -267,8 +270,7 @@ def _emit_given(common, n: int, levels: list[tuple[int, int, int]], wanted: byte
             w = Words(b["words"])
             shares = runs.shares(w)
             of = np.repeat(np.arange(len(w.n)), w.n)
-            start, end = runs.rare_runs(w, 0, shares)
-            found = [(of[start], w.runs(start, end))]
+            found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
             for x, low, high in levels:
                 # only texts near enough in length to one that asks at this level
                 near = (np.maximum(low, w.n) // PART >= low - w.n) & (w.n // PART >= w.n - high)
@@ -281,7 +283,7 @@ def _emit_given(common, n: int, levels: list[tuple[int, int, int]], wanted: byte
                     end = start + (x - 10)
                 mine = near[of[start]]
                 text, key = of[start[mine]], w.runs(start[mine], end[mine], x)
-                at = (key % np.uint64(FILTER_BITS)).astype(np.int64)
+                at = (key & np.uint64(8 * len(bits) - 1)).astype(np.int64)
                 asked = (bits[at >> 3] >> (at & 7)) & 1 > 0
                 found.append((text[asked], key[asked]))
             text, key = (np.concatenate(c) for c in zip(*found, strict=True))
@@ -291,14 +293,32 @@ def _emit_given(common, n: int, levels: list[tuple[int, int, int]], wanted: byte
     return run
 
 
-def _filter_bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import numpy as np
+def _filter_bits(size: int):
+    """``(part, bits)`` of a filter of ``size`` bits; all keys of a part come to one task."""
 
-    bits = np.zeros(FILTER_BITS >> 3, dtype=np.uint8)
-    for b in batches:
-        at = (b["key"].to_numpy().view(np.uint64) % np.uint64(FILTER_BITS)).astype(np.int64)
-        np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-    yield pd.DataFrame({"bits": [bits.tobytes()]})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        parts: dict[int, object] = {}
+        width = size // FILTER_PARTS
+        for b in batches:
+            at = b["key"].to_numpy().view(np.uint64) & np.uint64(size - 1)
+            for part in np.unique(at // np.uint64(width)).tolist():
+                mine = (at[at // np.uint64(width) == part] % np.uint64(width)).astype(np.int64)
+                bits = parts.setdefault(part, np.zeros(width >> 3, dtype=np.uint8))
+                np.bitwise_or.at(bits, mine >> 3, (1 << (mine & 7)).astype(np.uint8))
+        yield pd.DataFrame({"part": list(parts), "bits": [x.tobytes() for x in parts.values()]}).astype({"part": "int32"})
+
+    return run
+
+
+def _filter(asked: DataFrame, n: int) -> bytes:
+    """The filter of ``asked``'s ``n`` keys: a bit for the low bits of each."""
+    size = min(max(FILTER_BITS[0], 1 << (4 * n).bit_length()), FILTER_BITS[1])
+    part = F.floor(F.pmod("key", F.lit(size)) / (size // FILTER_PARTS))
+    got = asked.select("key").repartition(FILTER_PARTS, part).mapInPandas(_filter_bits(size), "part int, bits binary").collect()
+    parts = {r.part: bytes(r.bits) for r in got}
+    return b"".join(parts.get(k) or bytes(size // FILTER_PARTS >> 3) for k in range(FILTER_PARTS))
 
 
 def _words_distance(a: list[str], b: list[str], most: int) -> bool:
@@ -356,12 +376,8 @@ def near_classes(classes: DataFrame) -> DataFrame:
     plain = written(classes.select("class_id", "in_train", "in_eval", norm_key(F.col("text")).alias("words")).where("words != ''"))
     common, n = _common(plain)
     asked = written(plain.where("in_train").select("class_id", "words").mapInArrow(_emit_asked(common, n), _KEYS))
-    levels = [tuple(r) for r in asked.where("level > 0").groupBy("level").agg(F.min("n"), F.max("n")).orderBy("level").collect()]
-    wanted = 0
-    if levels:
-        for r in asked.where("level > 0").select("key").coalesce(8).mapInPandas(_filter_bits, "bits binary").collect():
-            wanted |= int.from_bytes(r.bits, "little")
-    emit = _emit_given(common, n, levels, wanted.to_bytes(FILTER_BITS >> 3, "little"))
+    levels = [tuple(r) for r in asked.groupBy("level").agg(F.min("n"), F.max("n")).orderBy("level").collect()]
+    emit = _emit_given(common, n, levels, _filter(asked, asked.count()))
     given = plain.where("in_eval").select("class_id", "words").mapInArrow(emit, _KEYS).drop("level")
     # a text makes many keys, which the planner can't know; so neither side is broadcast
     a, g = asked.drop("level").alias("a").hint("merge"), given.alias("g")

@@ -111,6 +111,49 @@ def test_overlap_matches_brute_force(spark):
     assert overlap.cross_split_pairs(d.limit(0), "row_id", "statement", "split_name").count() == 0
 
 
+def _of_phrases(rng, n):
+    phrases = [" ".join(f"p{i}x{j}" for j in range(6)) for i in range(12)]
+    return [" ".join(f"{rng.choice(phrases)} {' '.join(f'v{rng.randrange(300)}' for _ in range(4))}" for _ in range(4)) for _ in range(n)]
+
+
+def test_overlap_runs_stay_selective_among_many_texts():
+    import numpy as np
+    import pyarrow as pa
+
+    w = overlap.Words(pa.array(_of_phrases(random.Random(8), 2000)))
+    first, common = w.pairs(), []
+    for h in (overlap._mixed(w.h), w.runs(first, first + 2)):
+        keys, n = np.unique(h, return_counts=True)
+        common.append((keys[n > 1], np.minimum(1.0, n[n > 1] / 2000)))
+    text, level, key = overlap.Runs(common, 20_000_000).chosen(w)
+    assert len(np.unique(text)) == 2000
+    # equal blocks of these texts hold little but phrases, which every third text has
+    assert (level >= 10).mean() < 0.01
+    assert (np.unique(key, return_counts=True)[1].astype(float) ** 2).sum() < 20 * len(key)
+
+
+def test_overlap_matches_brute_force_at_later_levels(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = _of_phrases(rng, 60)
+    for x in texts[:60]:
+        w = x.split(" ")
+        for _ in range(rng.randint(1, 9)):
+            w[rng.randrange(len(w))] = f"v{rng.randrange(300)}"
+        texts.append(" ".join(w))
+    rows = [(i, x, rng.choice(["train", "val"])) for i, x in enumerate(texts)]
+    want = set()
+    for a, x, s in rows:
+        for b, y, t in rows:
+            if (s, t) == ("train", "val") and _edits(x.split(" "), y.split(" ")) <= overlap.allowed(40):
+                want.add((min(a, b), max(a, b)))
+    common = overlap._common
+    d = spark.createDataFrame(rows, "row_id long, statement string, split_name string")
+    for times in (10**5, 10**8):
+        monkeypatch.setattr(overlap, "_common", lambda c, times=times: (common(c)[0], common(c)[1] * times))
+        got = [tuple(r) for r in overlap.cross_split_pairs(d, "row_id", "statement", "split_name").collect()]
+        assert want and set(got) == want and len(got) == len(want)
+
+
 @pytest.mark.parametrize("pair", [p for p in mojibake.PAIRS if p[0] == "utf-8" and p[1] != "cp850" and p[1:] != ("latin-1", 2)])
 def test_mojibake_round_trip(pair):
     model = mojibake.Model({"before", "union", "didn't", "whereas"})
