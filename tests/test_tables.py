@@ -3,6 +3,7 @@
 import json
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from statlathe import api
 from statlathe.functions import text as tx
-from statlathe.operators import calibrate, explain, metrics, pool, quality, report, resample, scoring, split, threshold
+from statlathe.operators import calibrate, explain, metrics, pool, quality, report, resample, retrieve, scoring, split, threshold
 from statlathe.plans import prefix
 from statlathe.sources import files
 
@@ -321,3 +322,39 @@ def test_dataset_tool(spark):
         api.dataset(d, "test", row_ids=[9])
     with pytest.raises(api.BatchTooLarge):
         api.dataset(d, limit=501)
+
+
+def _nearest_rows(texts, queries, k):
+    terms = lambda x: (w := [t for t in x.split() if len(t) > 1]) + [(a, b) for a, b in zip(w, w[1:])]  # noqa: E731, RUF007
+    df = Counter(t for x in texts for t in set(terms(x)))
+
+    def unit(x):
+        v = {t: (1 + math.log(c)) * (math.log((1 + len(texts)) / (1 + df[t])) + 1) for t, c in Counter(terms(x)).items() if df[t]}
+        size = math.sqrt(sum(y * y for y in v.values()))
+        return {t: y / size for t, y in v.items()}
+
+    units = [unit(x) for x in texts]
+    for q, x in queries:
+        v = unit(x)
+        scores = sorted((-round(s, 6), r) for r, u in enumerate(units) if r != q and (s := sum(y * u.get(t, 0) for t, y in v.items())) > 0)
+        yield from ((q, r, -s, i + 1) for i, (s, r) in enumerate(scores[:k]))
+
+
+def test_retrieval_writes_no_pairs_and_equals_brute_force(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["the law", "of", "said", f"w{rng.randrange(30)}", f"v{rng.randrange(3000)}", "a"]) for _ in range(rng.randint(0, 14))) for _ in range(900)]
+    texts[500:520] = texts[100:120]
+    asked = [*((i, texts[i]) for i in range(0, 900, 3)), (9001, "the law nobody knows"), (9002, ""), (9003, "unknown words")]
+    sizes, keep = [], retrieve.written
+    monkeypatch.setattr(retrieve, "written", lambda d: (sizes.append((out := keep(d)).count()), out)[1])
+    train = spark.createDataFrame(list(enumerate(texts)), "row_id long, t string")
+    for name, value in (("LEAST", 4096), ("LEAST", 64), ("QUERY_ROWS", 100), ("DENSE", 0.5)):
+        monkeypatch.setattr(retrieve, name, value, raising=False)
+        got = retrieve.top_k(spark.createDataFrame(asked, "row_id long, t string"), train, "t", 4)
+        got = sorted(tuple(r) for r in got.select("query_id", "row_id", "score", "rank").collect())
+        want = sorted(_nearest_rows(texts, asked, 4))
+        assert [(q, r, i) for q, r, _, i in got] == [(q, r, i) for q, r, _, i in want]
+        assert [x[2] for x in got] == pytest.approx([x[2] for x in want], abs=2e-6)
+    # rows, queries and results; not their pairs, which are 270,000
+    assert max(sizes) <= 4 * len(asked)
+    assert retrieve.top_k(train.limit(0), train, "t").count() == 0 and retrieve.top_k(train, train.limit(0), "t").count() == 0
