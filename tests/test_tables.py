@@ -5,6 +5,7 @@ import math
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from statlathe import api
 from statlathe.functions import text as tx
 from statlathe.operators import calibrate, explain, metrics, pool, quality, report, resample, retrieve, scoring, split, threshold
-from statlathe.plans import prefix
+from statlathe.plans import catalog, prefix
 from statlathe.sources import files
 
 ROW = "row_id long, statement string, statement_clean string, subjects string, speaker_name string, speaker_job string, speaker_state string, speaker_affiliation string, statement_context string"
@@ -358,3 +359,14 @@ def test_retrieval_writes_no_pairs_and_equals_brute_force(spark, monkeypatch):
     # rows, queries and results; not their pairs, which are 270,000
     assert max(sizes) <= 4 * len(asked)
     assert retrieve.top_k(train.limit(0), train, "t").count() == 0 and retrieve.top_k(train, train.limit(0), "t").count() == 0
+
+
+def test_tfidf_top_k_asks_for_every_row(spark, tmp_path):
+    words = ["tax law", "the mayor", "voted", "bridge", "tolls", "never", "said"]
+    texts = [" ".join(words[(i * 3 + j * j) % 7] for j in range(3 + i % 4)) for i in range(45)]
+    spark.createDataFrame([(i + 1, t) for i, t in enumerate(texts)], "row_id long, statement string").write.parquet(f"{tmp_path}/statements.parquet")
+    got = catalog.QUERIES["tfidf_top_k"](spark, str(tmp_path)).collect()
+    assert {r.query_id for r in got} == set(range(1, 46))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW statements AS SELECT * FROM '{tmp_path}/statements.parquet/*.parquet'")
+    assert sorted(tuple(r) for r in got) == sorted(con.sql(catalog.SQL["tfidf_top_k"]).fetchall())
