@@ -370,3 +370,20 @@ def test_tfidf_top_k_asks_for_every_row(spark, tmp_path):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW statements AS SELECT * FROM '{tmp_path}/statements.parquet/*.parquet'")
     assert sorted(tuple(r) for r in got) == sorted(con.sql(catalog.SQL["tfidf_top_k"]).fetchall())
+
+
+def test_retrieval_makes_terms_once_and_bounds_blocks_exactly(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["the law", "of", "said", "tax", f"w{rng.randrange(40)}", f"v{rng.randrange(400)}", f"u{rng.randrange(2000)}"]) for _ in range(rng.randint(1, 16))) for _ in range(1200)]
+    texts[1000:1100] = texts[100:200]
+    made, keep = [], retrieve._words
+    monkeypatch.setattr(retrieve, "_words", lambda d, t: (made.append(t), keep(d, t))[1])
+    monkeypatch.setattr(retrieve, "TRAIN_ROWS", 500, raising=False)
+    monkeypatch.setattr(retrieve, "LEAST", 300)
+    d = spark.createDataFrame(list(enumerate(texts)), "row_id long, t string")
+    got = sorted(tuple(r) for r in retrieve.top_k(d, d, "t", 3).collect())
+    assert made == ["t"]
+    want = sorted(_nearest_rows(texts, list(enumerate(texts)), 3))
+    assert [(q, r, i) for q, r, _, i in got] == [(q, r, i) for q, r, _, i in want]
+    named = d.selectExpr("format_string('r%05d', row_id) AS row_id", "t")
+    assert sorted((r.query_id, r.row_id) for r in retrieve.top_k(named, named, "t", 3).collect()) == [(f"r{q:05d}", f"r{r:05d}") for q, r in sorted((q, r) for q, r, _, _ in want)]
